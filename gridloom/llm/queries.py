@@ -1,9 +1,88 @@
 """The queries of this subpackage and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from gridloom.llm import canonical, leakage, mixing, names, residue, topn
+from gridloom.operators.tree import text_or_null
+from gridloom.session import load
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.name_pairs(names.same_names(load(spark, sf, "name_spellings")))
+
+
+def p2_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """(bin_uri, species, votes): distinct records per bin and species, both normalised."""
+    bin_uri, species = F.upper(text_or_null(F.col("bin_uri"))), F.lower(F.regexp_replace(text_or_null(F.col("species")), r"\s+", " "))
+    rows = load(spark, sf, "bold_minimal_records").select(bin_uri.alias("bin_uri"), species.alias("species"), "record_id").dropna()
+    # Distinct records first, spread by record; then counts, combined before they are sent: a hot bin is no task's burden.
+    return rows.distinct().groupBy("bin_uri", "species").agg(F.count(F.lit(1)).alias("votes"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    listed = load(spark, sf, "bin_consensus_lookup").select("bin_uri", F.upper(text_or_null(F.col("bin_uri"))).alias("bin")).dropna().distinct()
+    votes = p2_votes(spark, sf).withColumnRenamed("bin_uri", "bin").join(listed.select("bin").distinct(), "bin", "left_semi")
+    best = topn.top_n_per_group(votes, "bin", "species", "votes", 3)
+    return best.join(listed, "bin").select("bin_uri", "rank_no", "species")
+
+
+def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
+    taxa = load(spark, sf, "taxon")
+    typed = load(spark, sf, "species_name_resolution").select("input_id", "species_normalized").where(F.regexp_replace("species_normalized", r"\s", "") != "")
+    exact = taxa.select(F.lower("canonicalname").alias("species_normalized")).where(F.col("species_normalized").isNotNull()).distinct()
+    open_rows = typed.join(exact, "species_normalized", "left_anti")
+    species = taxa.where(F.lower(F.trim("taxonrank")) == "species").select("taxonid", "canonicalname")
+    found = canonical.match_names(open_rows, "species_normalized", species, "taxonid", "canonicalname")
+    return open_rows.join(found, "species_normalized", "left")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_matches(spark, sf).select("input_id", F.coalesce("taxonid", F.lit(-1)).cast("long").alias("taxonid")).distinct()
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaked pairs with the share of the item's words held and the weighted shingle similarity."""
+    return leakage.leaks(load(spark, sf, "documents"), load(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(load(spark, sf, "documents")).select("doc_id")
+
+
+def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with residue by source and kind."""
+    docs = load(spark, sf, "documents").select("doc_id", "source").distinct()
+    return residue.residue(load(spark, sf, "documents")).join(docs, "doc_id").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_votes": p2_votes, "p5_found": p5_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_kinds": p10_kinds}
+
+
+_VOTES = r"""select upper(trim(bin_uri)) as bin_uri, lower(regexp_replace(trim(species), '\s+', ' ', 'g')) as species, count(distinct record_id) as votes
+  from bold_minimal_records where trim(bin_uri) <> '' and trim(species) <> '' group by 1, 2"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p2_votes": _VOTES,
+        "p2_found": f"""with v as ({_VOTES}), r as (select *, row_number() over (partition by bin_uri order by votes desc, species) as rank_no from v)
+  select l.bin_uri, cast(r.rank_no as int) as rank_no, r.species from r join (select distinct bin_uri from bin_consensus_lookup) l on upper(trim(l.bin_uri)) = r.bin_uri where r.rank_no <= 3""",
+    }
