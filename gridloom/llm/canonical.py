@@ -4,8 +4,8 @@ Distinct values are normalised into query forms; a character n-gram inverted ind
 candidates; weighted (idf) cosine scores them; a candidate is accepted above a threshold and with a margin over the
 next entry, after an exact check of what the typing may have changed. The rest is reported as unmatched.
 
-Retrieval is exact for the threshold: of a query's unit vector only the rarest n-grams are looked up, as many as
-leave a rest whose norm is below the threshold; an entry that shares none of them cannot reach it.
+Retrieval is exact: the list is indexed whole, in blocks that a task can hold, and every distinct value is scored
+against every entry that shares an n-gram with it. Values are never shuffled by n-gram, so a frequent one is no hot key.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from gridloom.llm.textkeys import edits, folded, qgrams
 #: N-grams are hashed into so many slots: the weights fit into one array whatever the list's alphabet.
 SLOTS = 1 << 16
 THRESHOLD, MARGIN, MOST_EDITS = 0.3, 0.02, 3
+#: The list is held by every task in blocks of about so many forms; a longer list takes more passes over the values.
+BLOCK_FORMS = 200_000
 
 #: Marks of doubt, which do not change the name that is meant.
 DOUBT = {"cf", "aff", "nr", "near", "conf", "prope", "affin", "x", "cfr"}
@@ -103,7 +105,51 @@ def _meant(genus: str, epithet: str, kind: str, entry_genus: str, entry_epithet:
     return a + b if a <= 2 and b <= 2 and a + b <= MOST_EDITS else MOST_EDITS + 1
 
 
-def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry_name: str, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+class GramIndex:
+    """An inverted index over the forms of a block: for every slot the entries that have it, with their weights."""
+
+    def __init__(self, rows: list[tuple], idf: np.ndarray):
+        self.rows = rows
+        slots, owners, weights = [], [], []
+        for n, (_, form, kind, _, _) in enumerate(rows):
+            for k, x in _vector(form, kind, idf).items():
+                slots.append(k)
+                owners.append(n)
+                weights.append(x)
+        order = np.argsort(np.array(slots, dtype=np.int64), kind="stable")
+        self.owners = np.array(owners, dtype=np.int64)[order]
+        self.weights = np.array(weights, dtype=np.float64)[order]
+        self.starts = np.searchsorted(np.array(slots, dtype=np.int64)[order], np.arange(SLOTS + 1))
+
+    def near(self, form: str, kind: str, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, cosine) of every entry at or above the threshold."""
+        owners, weights = [], []
+        for k, x in _vector(form, kind, idf).items():
+            part = slice(self.starts[k], self.starts[k + 1])
+            owners.append(self.owners[part])
+            weights.append(self.weights[part] * x)
+        cosine = np.bincount(np.concatenate(owners), np.concatenate(weights), minlength=len(self.rows)) if owners else np.zeros(len(self.rows))
+        hit = np.flatnonzero(cosine >= threshold)
+        return hit, cosine[hit]
+
+
+def _matcher(held, idf, threshold: float):
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = GramIndex(held.value, idf.value)
+        for b in batches:
+            found = []
+            for r in b.itertuples(index=False):
+                for n, cosine in zip(*index.near(r.form, r.kind, idf.value, threshold)):
+                    i, _, kind, genus, epithet = index.rows[n]
+                    d = _meant(r.genus, r.epithet, r.kind, genus, epithet) if kind == r.kind else MOST_EDITS + 1
+                    if d <= MOST_EDITS:
+                        found.append((r.value, i, float(cosine), d))
+            yield pd.DataFrame(found, columns=["value", "id", "cosine", "edits"])
+
+    return match
+
+
+def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry_name: str, threshold: float = THRESHOLD, margin: float = MARGIN, block_forms: int = BLOCK_FORMS) -> DataFrame:
     """(value, entry_id, cosine, edits): for each distinct typed value the entry it means; unmatched values are absent.
 
     `entries`: one row per canonical "Genus epithet" name (other names are ignored, null and blank ones too; of rows
@@ -132,7 +178,7 @@ def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str
     listed = entries.where(F.regexp_replace(F.col(entry_name), r"\s", "") != "").groupBy(F.lower(F.trim(F.col(entry_name))).alias("name")).agg(F.min(entry_id).alias("id"))
     id_type = listed.schema["id"].dataType.simpleString()
     index = listed.mapInPandas(entry_forms, f"id {id_type}, form string, kind string, genus string, epithet string")
-    queries = typed.mapInPandas(forms, _NAME)
+    queries = typed.repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(forms, _NAME)
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,52 +193,12 @@ def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str
         weights[slot] = math.log(1 + n_forms / n)
     idf = spark.sparkContext.broadcast(weights)
 
-    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, *r) for r in b.itertuples(index=False) for k in _slots(r.form, r.kind)]
-            yield pd.DataFrame(rows, columns=["slot", *b.columns])
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                rest, v = 1.0, sorted(_vector(r.form, r.kind, idf.value).items(), key=lambda x: (-x[1], x[0]))
-                for k, x in v:
-                    if rest < threshold * threshold:
-                        break
-                    rows.append((k, *r))
-                    rest -= x * x
-            yield pd.DataFrame(rows, columns=["slot", *b.columns])
-
-    post = index.mapInPandas(postings, f"slot int, id {id_type}, form string, kind string, genus string, epithet string")
-    probe = queries.mapInPandas(probes, f"slot int, {_NAME}")
-    p, q = post.alias("p"), probe.alias("q")
-    candidates = q.join(p, (F.col("q.slot") == F.col("p.slot")) & (F.col("q.kind") == F.col("p.kind"))).select(
-        "value", F.col("q.form").alias("form"), F.col("q.kind").alias("kind"), F.col("q.genus").alias("genus"), F.col("q.epithet").alias("epithet"), "id", F.col("p.form").alias("entry_form"), F.col("p.genus").alias("entry_genus"), F.col("p.epithet").alias("entry_epithet")
-    ).where(F.abs(F.length("form") - F.length("entry_form")) <= 6).dropDuplicates(["value", "form", "kind", "id"])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[tuple[str, str], dict[int, float]] = {}
-
-        def vector(form: str, kind: str) -> dict[int, float]:
-            if len(cache) > 100_000:
-                cache.clear()
-            if (form, kind) not in cache:
-                cache[form, kind] = _vector(form, kind, idf.value)
-            return cache[form, kind]
-
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                x, y = vector(r.form, r.kind), vector(r.entry_form, r.kind)
-                cosine = sum(w * y[k] for k, w in x.items() if k in y)
-                if cosine >= threshold:
-                    d = _meant(r.genus, r.epithet, r.kind, r.entry_genus, r.entry_epithet)
-                    if d <= MOST_EDITS:
-                        rows.append((r.value, r.id, cosine, d))
-            yield pd.DataFrame(rows, columns=["value", "id", "cosine", "edits"])
-
-    scored = candidates.mapInPandas(score, f"value string, id {id_type}, cosine double, edits int")
+    scored = spark.createDataFrame([], f"value string, id {id_type}, cosine double, edits int")
+    blocks = math.ceil(n_forms / block_forms)
+    for block in range(blocks):
+        own = index.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        held = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about block_forms short rows at most
+        scored = scored.unionByName(queries.mapInPandas(_matcher(held, idf, threshold), scored.schema))
     one = scored.groupBy("value", "id").agg(F.min(F.struct("edits", (-F.col("cosine")).alias("minus"))).alias("m")).select("value", "id", F.col("m.edits").alias("edits"), (-F.col("m.minus")).alias("cosine"))
     w = W.partitionBy("value").orderBy("edits", F.desc("cosine"), "id")
     ranked = one.withColumn("rank", F.row_number().over(w)).withColumn("next_edits", F.lead("edits").over(w)).withColumn("next_cosine", F.lead("cosine").over(w))
