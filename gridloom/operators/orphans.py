@@ -43,8 +43,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     parents = parents.where(F.col("key").isNotNull())
     fks = refs.select("key", "at").distinct()
     parent_keys = parents.select("key").distinct()
-    keys = fks.select("key").distinct()
-    missing = keys.join(parent_keys, "key", "left_anti").withColumn("reason", F.lit("missing"))
+    missing = fks.select("key").distinct().join(parent_keys, "key", "left_anti").withColumn("reason", F.lit("missing"))
 
     # For the keys that have parents: at an instant t a key is held if and only if, among the parents that begin at or
     # before t, the latest end lies after t. One state per (key, begin) suffices.
@@ -58,9 +57,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     held = within.where(F.col("ask") == 1).join(carried, ["key", "month"]).withColumn("best", F.greatest("own", "before"))
     dead = held.where(F.col("best").isNull() | (F.col("best") <= F.col("t"))).select("key", F.col("t").alias("at"), F.when(F.col("best").isNull(), "not_yet").otherwise("ended").alias("reason"))
 
-    rows = salted_join(refs, missing, ["key"]).select("ref_table", "ref_id", "at", "reason")
-    timed = salted_join(refs, dead, ["key", "at"]).select("ref_table", "ref_id", "at", "reason")
-    return rows.unionByName(timed).distinct()
+    verdicts = dead.unionByName(fks.join(missing, "key").select("key", "at", "reason"))
+    # Null-safe on the instant: a reference without a time can be missing too.
+    never = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    keyed = lambda d: d.withColumn("inst", F.coalesce("at", never))
+    return salted_join(keyed(refs), keyed(verdicts).drop("at"), ["key", "inst"]).select("ref_table", "ref_id", "at", "reason").distinct()
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:

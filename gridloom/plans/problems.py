@@ -23,26 +23,28 @@ def p3_value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("field_name", "value").agg(F.countDistinct("record_id").alias("n_records"), F.max("pos").alias("max_pos"))
 
 
-def _references(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """By parent: the references to it and its rows' validity."""
-    links = load(spark, sf, "bold_accession_links")
+def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All references and all parents' validity; a key begins with its kind, so that both kinds go through one plan."""
+    kind = lambda k, c: F.concat(F.lit(k), c)
     day = lambda c: F.to_timestamp(F.try_to_date(F.nullif(F.trim(F.col(c)), F.lit(""))))
-    acc_parents = links.where(day("query_date").isNotNull()).select(orphans.accession_key(F.col("accession")).alias("key"), day("query_date").alias("valid_from"), day("withdrawn_date").alias("valid_to"))
-    acc = load(spark, sf, "bold_acc_cells").select(F.lit("bold_acc_cells").alias("ref_table"), F.col("row_id").alias("ref_id"), orphans.accession_key(F.col("accession")).alias("key"), F.date_trunc("day", "first_seen_at").cast("timestamp").alias("at"))
-    ds_parents = load(spark, sf, "gbif_datasets").where(F.col("registered_at").isNotNull()).select(orphans.dataset_key(F.col("dataset_key")).alias("key"), F.col("registered_at").cast("timestamp").alias("valid_from"), F.col("deleted_at").cast("timestamp").alias("valid_to"))
-    of = lambda name, at: load(spark, sf, name).select(F.lit(name).alias("ref_table"), F.col("row_id").alias("ref_id"), orphans.dataset_key(F.col("dataset_key")).alias("key"), F.col(at).cast("timestamp").alias("at"))
-    ds = of("gbif_dataset_cells", "first_seen_at").unionByName(of("dataset_literature_cache", "fetched_at"))
-    return {"accession": (acc, acc_parents), "dataset": (ds, ds_parents)}
+    links = load(spark, sf, "bold_accession_links")
+    parents = links.where(day("query_date").isNotNull()).select(kind("a", orphans.accession_key(F.col("accession"))).alias("key"), day("query_date").alias("valid_from"), day("withdrawn_date").alias("valid_to"))
+    sets = load(spark, sf, "gbif_datasets").where(F.col("registered_at").isNotNull())
+    parents = parents.unionByName(sets.select(kind("d", orphans.dataset_key(F.col("dataset_key"))).alias("key"), F.col("registered_at").cast("timestamp").alias("valid_from"), F.col("deleted_at").cast("timestamp").alias("valid_to")))
+    refs = load(spark, sf, "bold_acc_cells").select(F.lit("bold_acc_cells").alias("ref_table"), F.col("row_id").alias("ref_id"), kind("a", orphans.accession_key(F.col("accession"))).alias("key"), F.date_trunc("day", "first_seen_at").cast("timestamp").alias("at"))
+    for name, at in (("gbif_dataset_cells", "first_seen_at"), ("dataset_literature_cache", "fetched_at")):
+        refs = refs.unionByName(load(spark, sf, name).select(F.lit(name).alias("ref_table"), F.col("row_id").alias("ref_id"), kind("d", orphans.dataset_key(F.col("dataset_key"))).alias("key"), F.col(at).cast("timestamp").alias("at")))
+    return refs, parents
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = [orphans.orphan_references(refs, parents) for refs, parents in _references(spark, sf).values()]
-    return found[0].unionByName(found[1]).select("ref_table", "ref_id", F.date_format("at", "yyyy-MM").alias("ref_period")).distinct()
+    found = orphans.orphan_references(*_references(spark, sf))
+    return found.select("ref_table", "ref_id", F.date_format("at", "yyyy-MM").alias("ref_period")).distinct()
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [orphans.orphan_report(refs, orphans.orphan_references(refs, parents)) for refs, parents in _references(spark, sf).values()]
-    return parts[0].unionByName(parts[1])
+    refs, parents = _references(spark, sf)
+    return orphans.orphan_report(refs, orphans.orphan_references(refs, parents))
 
 
 def _keyed_records(spark: SparkSession, sf: str) -> DataFrame:
