@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from gridloom.plans import problems
+from gridloom.plans import problems, q_aggregates, q_functions
+from gridloom.plans.book import Query
 
+BOOKS = (q_functions.book, q_aggregates.book)
 FLAGSHIP = "p4_report"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+def queries() -> dict[str, Query]:
+    out = dict(problems.QUERIES)
+    for b in BOOKS:
+        out |= b.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    out = dict(problems.ORACLE)
+    for b in BOOKS:
+        out |= b.sql
+    return out
