@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gridloom.plans import problems, q_aggregates, q_functions
+from gridloom.plans import problems, q_aggregates, q_functions, q_relational
 from gridloom.plans.book import Query
 
-BOOKS = (q_functions.book, q_aggregates.book)
+BOOKS = (q_functions.book, q_aggregates.book, q_relational.book)
 FLAGSHIP = "p4_report"
 
 
