@@ -113,11 +113,11 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
     rs = right.select(F.col(right_id), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).where(ok())
     height = max(0.05, math.degrees(km / EARTH_KM) * (1 + 1e-9))
     top = math.floor(180 / height)
-    strips = F.broadcast(spark.createDataFrame(_strips(ls, height, strip_rows), "band int, first int, splits int"))  # at most 3,601 rows
+    strips = F.broadcast(spark.createDataFrame(_strips(ls, height, strip_rows), "_band int, _first int, _splits int"))  # at most 3,601 rows
     band = F.floor((F.col("_lat") + 90.0) / height).cast("int")
-    ls = ls.withColumn("band", band).join(strips, "band").withColumn("strip", F.col("first") + F.pmod(F.xxhash64(F.col(left_id), "_lat", "_lon"), F.col("splits")).cast("int")).drop("band", "first", "splits")
+    ls = ls.withColumn("_band", band).join(strips, "_band").withColumn("_strip", F.col("_first") + F.pmod(F.xxhash64(F.col(left_id), "_lat", "_lon"), F.col("_splits")).cast("int")).drop("_band", "_first", "_splits")
     reached = F.sequence(F.greatest(band - 1, F.lit(0)), F.least(band + 1, F.lit(top)))
-    rs = rs.withColumn("band", F.explode(reached)).join(strips, "band").withColumn("strip", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1))).drop("band", "first", "splits").distinct()
+    rs = rs.withColumn("_band", F.explode(reached)).join(strips, "_band").withColumn("_strip", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_splits") - 1))).drop("_band", "_first", "_splits").distinct()
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ls.schema if f.name in (left_id, *keep)] + [f"`{right_id}` {rs.schema[right_id].dataType.simpleString()}", "km double"])
 
     def of_strip(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -129,4 +129,4 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
         out["km"] = np.concatenate([f[2] for f in found]) if found else np.array([], dtype=float)
         return out
 
-    return ls.groupBy("strip").cogroup(rs.groupBy("strip")).applyInPandas(of_strip, schema).select(left_id, right_id, *keep, "km")
+    return ls.groupBy("_strip").cogroup(rs.groupBy("_strip")).applyInPandas(of_strip, schema).select(left_id, right_id, *keep, "km")

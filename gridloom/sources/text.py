@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SPARK_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+
+
 def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
@@ -22,6 +25,8 @@ def read_delimited(spark: SparkSession, paths: str | list[str], columns: list[st
     Needs the full header order in `columns` only for the first file's schema: columns are matched by name through an
     inferred header, then projected; a missing one raises. Short rows are padded with null (PERMISSIVE) or dropped
     (DROPMALFORMED)."""
+    if encoding.lower() not in SPARK_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # lets the session read with any charset of the JVM
     df = spark.read.options(header=True, sep=sep, quote=quote, encoding=encoding, mode=mode, inferSchema=False, **options).csv(paths)
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -60,7 +65,7 @@ def read_tolerant(spark: SparkSession, paths: list[str], wanted: list[str], sep:
         by_header.setdefault(tuple(head), []).append(p)
     out = None
     for head, own in by_header.items():
-        df = spark.read.schema(text_schema(list(head))).options(header=True, sep=sep, mode="DROPMALFORMED").csv(own)
+        df = spark.read.schema(text_schema(list(head))).options(header=True, sep=sep, mode="DROPMALFORMED", columnPruning=False).csv(own)  # a pruned scan would not notice short lines
         part = df.select(*[(F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in head else F.lit("")).alias(c) for c in wanted])
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], text_schema(wanted))
