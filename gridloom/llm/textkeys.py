@@ -32,19 +32,23 @@ def edits(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    # Only the band of `most` cells on either side of the diagonal can stay within `most`: linear in the length.
+    over = most + 1
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
         last, row_before = row, before
-        row = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if row_before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, row_before[j - 2] + 1)
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
+            v = min(last.get(j, over) + 1, row.get(j - 1, over) + 1, last.get(j - 1, over) + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, row_before.get(j - 2, over) + 1)
             row[j] = v
-        if min(row) > most:
-            return most + 1
+        if not row or min(row.values()) > most:
+            return over
         before = last
-    return min(row[-1], most + 1)
+    return min(row.get(len(b), over), over)
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -52,6 +56,8 @@ def jaro_winkler(a: str, b: str) -> float:
         return 1.0
     if not a or not b:
         return 0.0
+    if max(len(a), len(b)) > 500:  # no name: what its edits leave
+        return max(0.0, 1 - edits(a, b, 20) / 21)
     reach = max(len(a), len(b)) // 2 - 1
     used, at = [False] * len(b), []
     for i, x in enumerate(a):
