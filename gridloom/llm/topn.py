@@ -84,7 +84,8 @@ def top_n_per_group(scored: DataFrame, group: str, item: str, score: str, n: int
     def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p in b["path"]:
-                yield read_top(p, group, item, score, n)[0]
+                # Plain objects: strings of several row groups come in chunks, which a batch of rows cannot hold.
+                yield read_top(p, group, item, score, n)[0].astype({group: object, item: object})
 
     best = paths.mapInPandas(best_of, sorted_table.select(group, item, score).schema)
     w = W.partitionBy(group).orderBy(F.col(score).desc(), F.col(item))
