@@ -124,8 +124,8 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
         found = list(sweep(a["_lat"].to_numpy(), a["_lon"].to_numpy(), b["_lat"].to_numpy(), b["_lon"].to_numpy(), km))
         i = np.concatenate([f[0] for f in found]) if found else np.array([], dtype=int)
         j = np.concatenate([f[1] for f in found]) if found else np.array([], dtype=int)
-        out = a[[left_id, *keep]].iloc[i].reset_index(drop=True)
-        out[right_id] = b[right_id].iloc[j].to_numpy()
+        out = pd.DataFrame({c: a[c].to_numpy()[i] for c in (left_id, *keep)})
+        out[right_id] = b[right_id].to_numpy()[j]
         out["km"] = np.concatenate([f[2] for f in found]) if found else np.array([], dtype=float)
         return out
 
