@@ -24,7 +24,7 @@ from gridloom.llm.textkeys import edits, folded, jaro_winkler, monge_elkan, qgra
 from gridloom.operators.skew import maybe_broadcast, salted_join
 from gridloom.storage import checkpointed
 
-ROWS_PER_BAND, FLOOR, RECALL = 3, 0.33, 0.99
+ROWS_PER_BAND, FLOOR, RECALL = 4, 0.4, 0.99
 #: Distinct surnames a word must stand before to count as a given name.
 GIVEN_SUPPORT = 3
 
@@ -293,8 +293,9 @@ def link_forms(forms: DataFrame, floor: float = FLOOR, recall: float = RECALL, r
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = [(r.field_name, r.letter, r.core, k) for r in x.itertuples(index=False) for k in _band_keys(r.core, bands, rows, a, b)]
-            yield pd.DataFrame(out, columns=["field_name", "letter", "core", "band"])
+            for start in range(0, len(x), 500):  # some hundred bands a row: a few rows at a time
+                out = [(r.field_name, r.letter, r.core, k) for r in x.iloc[start : start + 500].itertuples(index=False) for k in _band_keys(r.core, bands, rows, a, b)]
+                yield pd.DataFrame(out, columns=["field_name", "letter", "core", "band"])
 
     keys = ["field_name", "letter"]
     buckets = cores.mapInPandas(bucket, "field_name string, letter string, core string, band long")
