@@ -28,7 +28,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     listed = load(spark, sf, "bin_consensus_lookup").select("bin_uri", F.upper(text_or_null(F.col("bin_uri"))).alias("bin")).dropna().distinct()
     votes = p2_votes(spark, sf).withColumnRenamed("bin_uri", "bin").join(listed.select("bin").distinct(), "bin", "left_semi")
     best = topn.top_n_per_group(votes, "bin", "species", "votes", 3)
-    return best.join(listed, "bin").select("bin_uri", "rank_no", "species")
+    # The best rows come from a Python stage over file names, which the planner takes for tiny: never broadcast them.
+    return best.join(listed.hint("merge"), "bin").select("bin_uri", "rank_no", "species")
 
 
 def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
