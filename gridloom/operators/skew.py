@@ -15,8 +15,10 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint where its row count is proven small, else unchanged (shuffle join)."""
-    return F.broadcast(df) if small(df, max_rows) else df
+    """`df` with a broadcast hint where its row count is proven small, else one for a merge join.
+
+    Without the latter the planner could still broadcast it on an estimate, which Python stages and exploded rows fool."""
+    return F.broadcast(df) if small(df, max_rows) else df.hint("merge")
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
@@ -52,4 +54,5 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_split"), F.lit(1)) - 1)))
         .drop("n_split")
     )
-    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
+    # A merge join whatever the planner estimates: either side may be far larger than its source.
+    return lhs.join(rhs.hint("merge"), [*keys, "_salt"], how).drop("_salt")
