@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gridloom.plans import problems, q_aggregates, q_composites, q_functions, q_relational
+from gridloom.plans import problems, q_aggregates, q_composites, q_functions, q_more, q_relational
 from gridloom.plans.book import Query
 
-BOOKS = (q_functions.book, q_aggregates.book, q_relational.book, q_composites.book)
+BOOKS = (q_functions.book, q_aggregates.book, q_relational.book, q_composites.book, q_more.book)
 FLAGSHIP = "c_08_cell_year_panel"
 
 
