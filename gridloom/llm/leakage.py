@@ -1,20 +1,21 @@
 """Evaluation texts leaking into training text.
 
-A document holds an item if one or two passages of it carry at least `share` of the item's words in their order. Such
-a passage contains a run of words that is little or not touched, so both sides are cut into windows of `width` words
-(one begins at every word), and each window gets a SimHash. Fingerprints are compared by multi-index Hamming blocks:
-of radius + 1 blocks, two fingerprints within the radius agree in one, so none is missed. Candidate (document, item)
-pairs are then verified exactly, on whole texts: shared weighted shingles are chained into passages.
-
-Windows are as long as the shortest run a passage must keep, not as long as the item: a passage of three tenths of an
-item lies far outside any useful radius of the item's own fingerprint.
+A document holds an item if one or two passages of it carry at least `share` of the item's words in their order, a few
+of them changed. Both sides are cut into windows of `width` words, one beginning at every word, and each window gets a
+SimHash. Fingerprints are compared by multi-index Hamming blocks: of radius + 1 blocks, two fingerprints within the
+radius agree in one, so none is missed. Pairs with as many matching windows as a leak must keep are verified exactly,
+on whole texts: shared weighted shingles are chained into passages, and the best pair of passages is taken.
+
+`width=None` makes windows as long as each item. Such windows find whole copies only: a passage of three tenths of an
+item, or one with every fourth word changed, lies far outside any radius that Hamming blocks can serve. The default is
+the longest run of words that is left whole when every fourth word is changed.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, RADIUS, SHARE, SHINGLE = 8, 3, 0.3, 3
-#: A passage's outermost words may be changed ones, which no shingle shows; and the weight its shingles must have.
-SLACK, LEAST_SIMILARITY = 0.03, 0.15
-#: Words of a document that are fingerprinted at a time.
-LONG = 100_000
+from gridloom.storage import written
+
+WIDTH, RADIUS, SHARE, SHINGLE = 3, 3, 0.3, 3
+#: A passage's outermost words may be changed ones, which no shingle shows.
+SLACK = 0.03
+#: One word in so many may be changed; passages keep at least this share of the weight of their shingles.
+CHANGED, LEAST_SIMILARITY = 4, 0.22
+#: Words that are fingerprinted at a time.
+LONG = 200_000
 #: Words a passage may have lost or changed between two shingles it keeps.
 GAP = 6
 #: Items are held by every task in blocks of at most so many words; further blocks are further passes.
 BLOCK_WORDS = 1_000_000
 
-_MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#\d+;")
+_MARKUP = re.compile(r"</?[a-zA-Z!][^<>]*>|&[a-zA-Z]{2,8};|&#\d+;")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -46,23 +51,19 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
 
-def _signs(hashes: np.ndarray) -> np.ndarray:
-    """One row of 64 signs per word."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.int16) * 2 - 1
-
-
-def simhashes(hashes: np.ndarray, width: int, weights: np.ndarray | None = None) -> np.ndarray:
+def simhashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """The 64-bit SimHash of every window of `width` words; of the whole text if it is shorter. Empty for no words."""
     if not len(hashes):
         return np.empty(0, dtype=np.uint64)
-    signs = _signs(hashes).astype(np.int32)
-    if weights is not None:
-        signs *= weights[:, None]
-    sums = np.vstack([np.zeros((1, 64), dtype=np.int32), np.cumsum(signs, axis=0)])
     width = min(width, len(hashes))
-    windows = sums[width:] - sums[:-width]
-    return np.packbits(windows > 0, axis=1).view(np.uint64).ravel()
+    if width == 1:
+        return hashes
+    if width == 3:  # the sign of a sum of three is their majority, bit by bit
+        x, y, z = hashes[:-2], hashes[1:-1], hashes[2:]
+        return (x & y) | (x & z) | (y & z)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    sums = np.vstack([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    return np.packbits(sums[width:] - sums[:-width] > 0, axis=1).view(np.uint64).ravel()
 
 
 class BlockIndex:
@@ -79,8 +80,8 @@ class BlockIndex:
             values, starts = np.unique(keys[order], return_index=True)
             self.blocks.append((shift, mask, order, values, np.append(starts, len(keys))))
 
-    def owners_near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in `prints`, owner) of all matches; the same pair may come several times."""
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in `prints`, position in the index) of all matches; the same pair may come several times."""
         at, found = [], []
         for shift, mask, order, values, starts in self.blocks:
             if not len(values):
@@ -96,116 +97,211 @@ class BlockIndex:
                 m = n[begin:end]
                 where = np.repeat(hit[begin:end], m)
                 index = order[np.repeat(starts[slot[hit[begin:end]]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-                near = np.bitwise_count(prints[where] ^ self.prints[index]) <= self.radius
-                at.append(where[near])
-                found.append(self.owners[index[near]])
+                close = np.bitwise_count(prints[where] ^ self.prints[index]) <= self.radius
+                at.append(where[close])
+                found.append(index[close])
                 begin = end
-        return (np.concatenate(at), np.concatenate(found)) if at else (np.empty(0, dtype=int), np.empty(0, dtype=self.owners.dtype))
+        return (np.concatenate(at), np.concatenate(found)) if at else (np.empty(0, dtype=int), np.empty(0, dtype=int))
 
 
-def passages(doc: list[str], item: list[str], k: int = SHINGLE, gap: int = GAP) -> list[tuple[int, int, int, int, list[int]]]:
-    """(first, end) in the document, (first, end) in the item, and the item positions of the shingles, of every passage.
+def passages(doc: list[str], item: list[str], weigh=lambda j: 1.0, k: int = SHINGLE, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
+    """(first, end) in the document, (first, end) in the item, and the weight of the shingles, of every passage.
 
     A passage is a chain of shared k-word shingles in the same order on both sides, each at most `gap` words beyond the
-    last. Work is linear in the document but for the few chains that are open at a time.
+    last. For every shared shingle the heaviest chain that ends there is given (the beginnings of longer ones too). Each
+    shingle looks back over k + gap words of both sides only, so the work is linear in the document's shared shingles.
     """
     k = min(k, len(item))
     at = defaultdict(list)
     for j in range(len(item) - k + 1):
         at[tuple(item[j : j + k])].append(j)
-    done: list[list] = []
-    live: list[list] = []
+    out: list[tuple[int, int, int, int, float]] = []
+    recent: deque[tuple[int, dict[int, tuple[int, int, float]]]] = deque()  # document positions in reach, their chains by item position
     for i in range(len(doc) - k + 1):
         positions = at.get(tuple(doc[i : i + k]))
         if not positions:
             continue
-        done += [c for c in live if i - c[1] > k + gap]
-        live = [c for c in live if i - c[1] <= k + gap]
+        while recent and i - recent[0][0] > k + gap:
+            recent.popleft()
+        here = {}
         for j in positions:
-            fits = [c for c in live if c[1] < i and 0 < j - c[3] <= k + gap]
-            if fits:
-                c = max(fits, key=lambda c: (len(c[4]), -abs((i - c[1]) - (j - c[3]))))
-                c[1], c[3] = i, j
-                c[4].append(j)
-            else:
-                live.append([i, i, j, j, [j]])
-    return [(c[0], c[1] + k, c[2], c[3] + k, c[4]) for c in done + live]
+            best = (i, j, 0.0)
+            for _, chains in recent:
+                if len(chains) <= k + gap:
+                    for jj, c in chains.items():
+                        if 0 < j - jj <= k + gap and c[2] > best[2]:
+                            best = c
+                else:
+                    for jj in range(j - k - gap, j):
+                        c = chains.get(jj)
+                        if c is not None and c[2] > best[2]:
+                            best = c
+            here[j] = (best[0], best[1], best[2] + weigh(j))
+        recent.append((i, here))
+        out += [(a, i + k, b, j + k, w) for j, (a, b, w) in here.items()]
+    return out
+
+
+class _Best:
+    """Largest value over a prefix of positions (a Fenwick tree of maxima)."""
+
+    def __init__(self, n: int):
+        self.tree: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+
+    def put(self, at: int, value: tuple[int, int]) -> None:
+        at += 1
+        while at < len(self.tree):
+            if value > self.tree[at]:
+                self.tree[at] = value
+            at += at & -at
+
+    def up_to(self, at: int) -> tuple[int, int]:
+        best, at = (0, -1), at + 1
+        while at > 0:
+            if self.tree[at] > best:
+                best = self.tree[at]
+            at &= at - 1
+        return best
 
 
 def held(doc: list[str], item: list[str], weight: dict[tuple[str, ...], float], k: int = SHINGLE, gap: int = GAP) -> tuple[float, float]:
     """(share of the item's words, weighted shingle similarity) of the best one or two passages of a document.
 
     The share counts an item's words from a passage's first shingle to its last; the similarity is the weight of the
-    passages' shingles over that of all the item's (shingles that many items use weigh less).
+    passages' shared shingles over that of all shingles of the item there (shingles that many items use weigh less).
+    Of all passages and pairs of passages that overlap on neither side the longest is taken, exactly: passages are
+    swept by their ends in the document, with the best earlier one before and after each place of the item.
     """
     k = min(k, len(item))
     if not item:
         return 0.0, 0.0
-    weigh = lambda j: weight.get(tuple(item[j : j + k]), 1.0)
-    total = sum(weigh(j) for j in range(len(item) - k + 1))
-    spans = sorted(passages(doc, item, k, gap), key=lambda p: p[2] - p[3])
-    best = (0.0, 0.0)
-    for a, x in enumerate(spans[:8]):
-        for y in [None, *spans[a + 1 :]]:
-            if y is not None and not ((x[1] <= y[0] or y[1] <= x[0]) and (x[3] <= y[2] or y[3] <= x[2])):
-                continue
-            words = x[3] - x[2] + (y[3] - y[2] if y else 0)
-            if words / len(item) > best[0]:
-                best = (words / len(item), sum(weigh(j) for p in (x, y) if p for j in p[4]) / total)
-            if y is not None:
-                break  # the longest that fits
-    return best
+    weights = [weight.get(tuple(item[j : j + k]), 1.0) for j in range(len(item) - k + 1)]
+    spans = passages(doc, item, weights.__getitem__, k, gap)
+    if not spans:
+        return 0.0, 0.0
+    n = len(item)
+    before, after = _Best(n + 1), _Best(n + 1)
+    by_end = sorted(range(len(spans)), key=lambda x: spans[x][1])
+    best, chosen, done = 0, (), 0
+    for y in sorted(range(len(spans)), key=lambda x: spans[x][0]):
+        first, _, low, high, _ = spans[y]
+        while done < len(by_end) and spans[by_end[done]][1] <= first:
+            x = spans[by_end[done]]
+            before.put(x[3], (x[3] - x[2], by_end[done]))
+            after.put(n - x[2], (x[3] - x[2], by_end[done]))
+            done += 1
+        words, x = max(before.up_to(low), after.up_to(n - high))
+        if words + high - low > best:
+            best, chosen = words + high - low, (x, y) if x >= 0 else (y,)
+    kept = sum(spans[x][4] for x in chosen)
+    there = sum(sum(weights[spans[x][2] : spans[x][3] - k + 1]) for x in chosen)
+    return best / n, kept / there if there else 0.0
+
 
+def least_windows(n_words: int, share: float, width: int) -> int:
+    """Windows of `width` words that a leak of an item of n words keeps at least, if one word in CHANGED is changed.
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float = SHARE, width: int = WIDTH, radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    The share may lie in two passages; each begins and ends anywhere between two changed words.
+    """
+    runs = n_words * share / CHANGED
+    return max(1, math.floor(runs * max(1, CHANGED - width)) - 1) if width < CHANGED else 1
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float = SHARE, width: int | None = WIDTH, radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, share, similarity): every document that holds at least `share` of an item's words, each pair once.
 
-    All windows of all documents are compared with all windows of all items, in blocks of items (a query set that every
-    task can hold: `block_words` words at most, but for a single longer item). Null and empty texts hold nothing and are
-    held by nothing; an item shorter than the width is one window. Repeated rows give a pair once. Nothing is shuffled
-    but the result.
+    All windows of all documents are compared with all windows of all items. Items are a query set that every task
+    holds, read from a written table in blocks of `block_words` words at most (but for a single longer item), one after
+    the other; the driver holds none. Null and empty texts hold nothing and are held by nothing; an item shorter than
+    the width is one window. Repeated rows give a pair once. Nothing is shuffled but the result.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).dropna().distinct()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     n_words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = math.ceil(n_words / block_words)
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, share double, similarity double"
-    out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        words = {r.item_id: words_of(r.text) for r in own.collect()}  # at most about block_words words
-        shared = spark.sparkContext.broadcast({i: w for i, w in words.items() if w})
-        out = out.unionByName(d.mapInPandas(_finder(shared, share, width, radius), schema))
+    if not n_words:
+        return spark.createDataFrame([], f"`{doc_id}` {d.schema['doc_id'].dataType.simpleString()}, `{item_id}` {items.schema['item_id'].dataType.simpleString()}, share double, similarity double")
+    blocks = math.ceil(n_words / block_words)
+    blocked = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block").sortWithinPartitions("block", "item_id")
+    _, path = written(blocked, "items")
+    out = d.mapInPandas(_finder(path, blocks, share, width, radius), schema)
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("similarity").alias("similarity")).select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "share", "similarity")
 
 
-def _finder(shared, share: float, width: int, radius: int):
+class _Items:
+    """The items of one block, with an index of their windows for every width in use."""
+
+    def __init__(self, rows: list[tuple], share: float, width: int | None, radius: int):
+        self.ids, self.words = [], []
+        for i, text in rows:
+            words = words_of(text)
+            if words:
+                self.ids.append(i)
+                self.words.append(words)
+        used = Counter(s for w in self.words for s in {tuple(w[j : j + SHINGLE]) for j in range(len(w) - SHINGLE + 1)})
+        self.weight = {s: 1 / n for s, n in used.items()}
+        by_width = defaultdict(list)
+        for n, w in enumerate(self.words):
+            by_width[min(width or len(w), len(w))].append(n)
+        self.indexes = []
+        for wide, members in by_width.items():
+            prints = [np.unique(simhashes(word_hashes(self.words[n]), wide)) for n in members]
+            owners = np.concatenate([np.full(len(p), n) for p, n in zip(prints, members)])
+            self.indexes.append((wide, BlockIndex(np.concatenate(prints), owners, radius)))
+        self.least = np.array([least_windows(len(w), share, width) if width and len(w) >= width else 1 for w in self.words], dtype=np.int64)
+
+    def candidates(self, hashes: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) with enough matching windows; `of` says which document a word belongs to."""
+        pairs = []
+        for wide, index in self.indexes:
+            if len(hashes) < wide:
+                continue
+            at, found = index.near(simhashes(hashes, wide))
+            inside = of[at] == of[at + wide - 1]
+            pairs.append(np.unique(np.stack([of[at[inside]], index.owners[found[inside]], found[inside]]), axis=1)[:2])
+        if not pairs:
+            return []
+        pairs, n = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
+        return [(int(a), int(b)) for a, b in pairs[:, n >= self.least[pairs[1]]].T]
+
+
+def _block(path: str, block: int) -> list[tuple]:
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    fs, where = pafs.FileSystem.from_uri(path)
+    table = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["item_id", "text"], filter=ds.field("block") == block)
+    return list(zip(table["item_id"].to_pylist(), table["text"].to_pylist()))
+
+
+def _finder(path: str, blocks: int, share: float, width: int | None, radius: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value
-        prints = {i: np.unique(simhashes(word_hashes(w), width)) for i, w in items.items()}
-        ids = list(items)
-        index = BlockIndex(np.concatenate([prints[i] for i in ids]), np.concatenate([np.full(len(prints[i]), n) for n, i in enumerate(ids)]), radius) if ids else None
-        used = Counter(s for w in items.values() for s in {tuple(w[j : j + SHINGLE]) for j in range(len(w) - SHINGLE + 1)})
-        weight = {s: 1 / n for s, n in used.items()}
+        held_block: tuple[int, _Items | None] = (-1, None)
         known: dict[str, int] = {}
         for b in batches:
-            found = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                words = words_of(text)
-                if not words or index is None:
-                    continue
+            texts, ids = b["text"].tolist(), b["doc_id"].tolist()
+            start = 0
+            while start < len(texts):
+                words, end, n = [], start, 0
+                while end < len(texts) and n < LONG:
+                    words.append(words_of(texts[end]))
+                    n += len(words[-1])
+                    end += 1
                 if len(known) > 500_000:
                     known.clear()
-                hashes = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), dtype=np.uint64, count=len(words))
-                near: set[int] = set()
-                for start in range(0, len(hashes), LONG):  # slices overlap by a window: no window is lost
-                    part = hashes[start : start + LONG + width - 1]
-                    near.update(index.owners_near(simhashes(part, width))[1].tolist())
-                for n in near:
-                    s, similarity = held(words, items[ids[n]], weight)
-                    if s >= share - SLACK and similarity >= LEAST_SIMILARITY:
-                        found.append((doc, ids[n], s, similarity))
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "share", "similarity"])
+                hashes = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for ws in words for w in ws), dtype=np.uint64, count=n)
+                of = np.repeat(np.arange(start, end), [len(w) for w in words])
+                found = []
+                for block in range(blocks):
+                    if held_block[0] != block:
+                        held_block = (block, _Items(_block(path, block), share, width, radius))
+                    items = held_block[1]
+                    for doc, item in items.candidates(hashes, of):
+                        s, similarity = held(words[doc - start], items.words[item], items.weight)
+                        if s >= share - SLACK and similarity >= LEAST_SIMILARITY:
+                            found.append((ids[doc], items.ids[item], s, similarity))
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "share", "similarity"])
+                start = end
 
     return find

@@ -19,7 +19,8 @@ def test_blocks_find_all_within_the_radius():
         for bit in rng.choice(64, rng.integers(0, 7), replace=False):
             queries[k] ^= np.uint64(1) << np.uint64(bit)
     index = leakage.BlockIndex(prints, np.arange(300), 3)
-    got = set(zip(*map(list, index.owners_near(queries))))
+    at, found = index.near(queries)
+    got = set(zip(at.tolist(), index.owners[found].tolist()))
     want = {(q, o) for q in range(len(queries)) for o in range(300) if bin(int(queries[q] ^ prints[o])).count("1") <= 3}
     assert got == want
 
@@ -32,6 +33,59 @@ def test_simhash_windows_are_the_windows_own():
     assert len(leakage.simhashes(h[:3], 8)) == 1 and len(leakage.simhashes(h[:0], 8)) == 0
 
 
+def test_simhash_of_three_words_is_the_sign_of_their_sum():
+    h = leakage.word_hashes("one two three four five six".split())
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(int) * 2 - 1
+    want = [np.packbits(bits[k : k + 3].sum(axis=0) > 0).view(np.uint64)[0] for k in range(4)]
+    assert leakage.simhashes(h, 3).tolist() == want
+
+
+def _leaked(doc, item):
+    block = leakage._Items([(1, " ".join(item))], leakage.SHARE, leakage.WIDTH, leakage.RADIUS)
+    if not block.candidates(leakage.word_hashes(doc), np.zeros(len(doc), dtype=int)):
+        return False
+    share, similarity = leakage.held(doc, item, block.weight)
+    return share >= leakage.SHARE - leakage.SLACK and similarity >= leakage.LEAST_SIMILARITY
+
+
+def test_recall_with_words_changed_at_regular_distances():
+    rnd = random.Random(4)
+    for every in (4, 5, 6, 7, 8):
+        found = 0
+        for t in range(100):
+            item = _text(rnd, 60).split()
+            start = rnd.randrange(21)
+            piece = [w if (k + t) % every else f"zz{t}q{k}" for k, w in enumerate(item[start : start + 40])]
+            found += _leaked([f"f{k}" for k in range(50)] + piece + [f"g{k}" for k in range(50)], item)
+        assert found >= 90, (every, found)
+
+
+def test_quotes_that_overlap_two_passages_do_not_hide_them():
+    item = [f"w{k}" for k in range(100)]
+    two = item[10:27] + ["x"] * 20 + item[40:57]
+    assert leakage.held(two, item, {})[0] == 0.34
+    assert leakage.held(two + (["y"] * 20 + item[20:38] + ["z"] * 20 + item[38:50]) * 9, item, {})[0] >= 0.34
+    assert _leaked((["y"] * 20 + item[17:35]) * 9 + ["z"] * 20 + two, item)
+
+
+def test_best_pair_of_passages_against_all_pairs():
+    rnd = random.Random(9)
+    for _ in range(60):
+        item = [f"w{k}" for k in range(rnd.randint(8, 40))]
+        doc = []
+        for _ in range(rnd.randint(1, 8)):
+            a = rnd.randrange(len(item))
+            doc += item[a : a + rnd.randint(3, 12)] + [f"x{rnd.random()}"] * 10
+        spans = leakage.passages(doc, item)
+        sizes = [x[3] - x[2] for x in spans]
+        sizes += [x[3] - x[2] + y[3] - y[2] for x in spans for y in spans if x[1] <= y[0] and (x[3] <= y[2] or y[3] <= x[2])]
+        assert leakage.held(doc, item, {})[0] == max(sizes, default=0) / len(item)
+
+
+def test_long_tags_are_no_words():
+    assert leakage.words_of(f"one <a href='{'u ' * 300}'>two</a> 3 < 4 &amp; five") == ["one", "two", "3", "4", "five"]
+
+
 def test_leaks_against_brute_force(spark):
     rnd = random.Random(11)
     items = {i: _text(rnd, rnd.randint(60, 150)) for i in range(12)}
