@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,20 +104,28 @@ class BlockIndex:
         return (np.concatenate(at), np.concatenate(found)) if at else (np.empty(0, dtype=int), np.empty(0, dtype=int))
 
 
-def passages(doc: list[str], item: list[str], weigh=lambda j: 1.0, k: int = SHINGLE, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
+def shingles_at(item: list[str], k: int = SHINGLE) -> dict[tuple[str, ...], list[int]]:
+    """The places of every shingle of an item; of the whole item if it is shorter than a shingle."""
+    k, at = min(k, len(item)), defaultdict(list)
+    for j in range(len(item) - k + 1):
+        at[tuple(item[j : j + k])].append(j)
+    return at
+
+
+def passages(doc: list[str], item: list[str], weights: list[float] | None = None, places: Iterable[int] | None = None, at: dict | None = None, k: int = SHINGLE, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
     """(first, end) in the document, (first, end) in the item, and the weight of the shingles, of every passage.
 
     A passage is a chain of shared k-word shingles in the same order on both sides, each at most `gap` words beyond the
     last. For every shared shingle the heaviest chain that ends there is given (the beginnings of longer ones too). Each
     shingle looks back over k + gap words of both sides only, so the work is linear in the document's shared shingles.
+    `weights`: of the item's shingles, by place (1 each if absent); `places`: the only places of the document to look at,
+    ascending; `at`: the item's `shingles_at`.
     """
     k = min(k, len(item))
-    at = defaultdict(list)
-    for j in range(len(item) - k + 1):
-        at[tuple(item[j : j + k])].append(j)
+    at = shingles_at(item, k) if at is None else at
     out: list[tuple[int, int, int, int, float]] = []
     recent: deque[tuple[int, dict[int, tuple[int, int, float]]]] = deque()  # document positions in reach, their chains by item position
-    for i in range(len(doc) - k + 1):
+    for i in range(len(doc) - k + 1) if places is None else places:
         positions = at.get(tuple(doc[i : i + k]))
         if not positions:
             continue
@@ -136,7 +144,7 @@ def passages(doc: list[str], item: list[str], weigh=lambda j: 1.0, k: int = SHIN
                         c = chains.get(jj)
                         if c is not None and c[2] > best[2]:
                             best = c
-            here[j] = (best[0], best[1], best[2] + weigh(j))
+            here[j] = (best[0], best[1], best[2] + (weights[j] if weights else 1.0))
         recent.append((i, here))
         out += [(a, i + k, b, j + k, w) for j, (a, b, w) in here.items()]
     return out
@@ -164,19 +172,20 @@ class _Best:
         return best
 
 
-def held(doc: list[str], item: list[str], weight: dict[tuple[str, ...], float], k: int = SHINGLE, gap: int = GAP) -> tuple[float, float]:
+def held(doc: list[str], item: list[str], weights: list[float] | None = None, places: Iterable[int] | None = None, at: dict | None = None, k: int = SHINGLE, gap: int = GAP) -> tuple[float, float]:
     """(share of the item's words, weighted shingle similarity) of the best one or two passages of a document.
 
     The share counts an item's words from a passage's first shingle to its last; the similarity is the weight of the
     passages' shared shingles over that of all shingles of the item there (shingles that many items use weigh less).
     Of all passages and pairs of passages that overlap on neither side the longest is taken, exactly: passages are
-    swept by their ends in the document, with the best earlier one before and after each place of the item.
+    swept by their ends in the document, with the best earlier one before and after each place of the item. The
+    further arguments are those of `passages`.
     """
     k = min(k, len(item))
     if not item:
         return 0.0, 0.0
-    weights = [weight.get(tuple(item[j : j + k]), 1.0) for j in range(len(item) - k + 1)]
-    spans = passages(doc, item, weights.__getitem__, k, gap)
+    weights = weights or [1.0] * (len(item) - k + 1)
+    spans = passages(doc, item, weights, places, at, k, gap)
     if not spans:
         return 0.0, 0.0
     n = len(item)
@@ -207,6 +216,14 @@ def least_windows(n_words: int, share: float, width: int) -> int:
     return max(1, math.floor(runs * max(1, CHANGED - width)) - 1) if width < CHANGED else 1
 
 
+def least_weight(weights: np.ndarray, words: int) -> float:
+    """The weight that passages of `words` words, in one or two pieces, must keep at least: that of the lightest such pieces."""
+    sums = np.concatenate([[0.0], np.cumsum(weights)])
+    light = np.array([0.0] + [float((sums[m:] - sums[:-m]).min()) for m in range(1, min(words, len(weights)) + 1)])  # by number of shingles
+    of_words = lambda n: light[min(max(0, n - SHINGLE + 1), len(light) - 1)]
+    return LEAST_SIMILARITY * min(of_words(m) + of_words(words - m) for m in range(words // 2 + 1))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float = SHARE, width: int | None = WIDTH, radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, share, similarity): every document that holds at least `share` of an item's words, each pair once.
 
@@ -240,30 +257,51 @@ class _Items:
                 self.ids.append(i)
                 self.words.append(words)
         used = Counter(s for w in self.words for s in {tuple(w[j : j + SHINGLE]) for j in range(len(w) - SHINGLE + 1)})
-        self.weight = {s: 1 / n for s, n in used.items()}
+        self.at = [shingles_at(w) for w in self.words]
+        self.weights = [[1 / used.get(tuple(w[j : j + SHINGLE]), 1) for j in range(max(1, len(w) - SHINGLE + 1))] for w in self.words]
         by_width = defaultdict(list)
         for n, w in enumerate(self.words):
             by_width[min(width or len(w), len(w))].append(n)
         self.indexes = []
         for wide, members in by_width.items():
-            prints = [np.unique(simhashes(word_hashes(self.words[n]), wide)) for n in members]
-            owners = np.concatenate([np.full(len(p), n) for p, n in zip(prints, members)])
-            self.indexes.append((wide, BlockIndex(np.concatenate(prints), owners, radius)))
+            prints, owners, kept = [], [], []
+            for n in members:
+                p, where = np.unique(simhashes(word_hashes(self.words[n]), wide), return_index=True)
+                prints.append(p)
+                owners.append(np.full(len(p), n))
+                kept.append(np.array(self.weights[n])[where] if wide == SHINGLE else np.ones(len(p)))
+            self.indexes.append((wide, BlockIndex(np.concatenate(prints), np.concatenate(owners), radius), np.concatenate(kept)))
         self.least = np.array([least_windows(len(w), share, width) if width and len(w) >= width else 1 for w in self.words], dtype=np.int64)
+        bound = width == SHINGLE
+        self.least_weight = np.array([least_weight(np.array(x), math.ceil((share - SLACK) * len(w))) if bound and len(w) >= SHINGLE else 0.0 for x, w in zip(self.weights, self.words)])
 
-    def candidates(self, hashes: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
-        """(document, item) with enough matching windows; `of` says which document a word belongs to."""
-        pairs = []
-        for wide, index in self.indexes:
+    def candidates(self, hashes: np.ndarray, of: np.ndarray) -> list[tuple[int, int, list[int] | None]]:
+        """(document, item, places in `hashes` of the matching windows) of the pairs that keep enough of them.
+
+        `of` says which document a word belongs to. Places are None where windows are not shingles.
+        """
+        out = []
+        for wide, index, kept in self.indexes:
             if len(hashes) < wide:
                 continue
             at, found = index.near(simhashes(hashes, wide))
             inside = of[at] == of[at + wide - 1]
-            pairs.append(np.unique(np.stack([of[at[inside]], index.owners[found[inside]], found[inside]]), axis=1)[:2])
-        if not pairs:
-            return []
-        pairs, n = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
-        return [(int(a), int(b)) for a, b in pairs[:, n >= self.least[pairs[1]]].T]
+            at, found = at[inside], found[inside]
+            if not len(at):
+                continue
+            pair = of[at].astype(np.int64) * len(self.ids) + index.owners[found]
+            order = np.lexsort((found, pair))
+            at, found, pair = at[order], found[order], pair[order]
+            fresh = np.r_[True, (pair[1:] != pair[:-1]) | (found[1:] != found[:-1])]  # each window of an item once
+            begins = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            ends = np.r_[begins[1:], len(pair)]
+            n = np.add.reduceat(fresh.astype(np.int64), begins)
+            weight = np.add.reduceat(fresh * kept[found], begins)
+            item = pair[begins] % len(self.ids)
+            for x in np.flatnonzero((n >= self.least[item]) & (weight >= self.least_weight[item] * (1 - 1e-9))):
+                places = np.unique(at[begins[x] : ends[x]]).tolist() if wide == SHINGLE else None
+                out.append((int(pair[begins[x]] // len(self.ids)), int(item[x]), places))
+        return out
 
 
 def _block(path: str, block: int) -> list[tuple]:
@@ -291,14 +329,16 @@ def _finder(path: str, blocks: int, share: float, width: int | None, radius: int
                 if len(known) > 500_000:
                     known.clear()
                 hashes = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for ws in words for w in ws), dtype=np.uint64, count=n)
-                of = np.repeat(np.arange(start, end), [len(w) for w in words])
+                sizes = np.array([len(w) for w in words], dtype=np.int64)
+                of, first = np.repeat(np.arange(start, end), sizes), (np.cumsum(sizes) - sizes).tolist()
                 found = []
                 for block in range(blocks):
                     if held_block[0] != block:
                         held_block = (block, _Items(_block(path, block), share, width, radius))
                     items = held_block[1]
-                    for doc, item in items.candidates(hashes, of):
-                        s, similarity = held(words[doc - start], items.words[item], items.weight)
+                    for doc, item, places in items.candidates(hashes, of):
+                        own = None if places is None else [x - first[doc - start] for x in places]
+                        s, similarity = held(words[doc - start], items.words[item], items.weights[item], own, items.at[item])
                         if s >= share - SLACK and similarity >= LEAST_SIMILARITY:
                             found.append((ids[doc], items.ids[item], s, similarity))
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "share", "similarity"])

@@ -42,10 +42,11 @@ def test_simhash_of_three_words_is_the_sign_of_their_sum():
 
 def _leaked(doc, item):
     block = leakage._Items([(1, " ".join(item))], leakage.SHARE, leakage.WIDTH, leakage.RADIUS)
-    if not block.candidates(leakage.word_hashes(doc), np.zeros(len(doc), dtype=int)):
-        return False
-    share, similarity = leakage.held(doc, item, block.weight)
-    return share >= leakage.SHARE - leakage.SLACK and similarity >= leakage.LEAST_SIMILARITY
+    for _, n, places in block.candidates(leakage.word_hashes(doc), np.zeros(len(doc), dtype=int)):
+        share, similarity = leakage.held(doc, item, block.weights[n], places, block.at[n])
+        assert (share, similarity) == leakage.held(doc, item, block.weights[n])
+        return share >= leakage.SHARE - leakage.SLACK and similarity >= leakage.LEAST_SIMILARITY
+    return False
 
 
 def test_recall_with_words_changed_at_regular_distances():
@@ -63,8 +64,8 @@ def test_recall_with_words_changed_at_regular_distances():
 def test_quotes_that_overlap_two_passages_do_not_hide_them():
     item = [f"w{k}" for k in range(100)]
     two = item[10:27] + ["x"] * 20 + item[40:57]
-    assert leakage.held(two, item, {})[0] == 0.34
-    assert leakage.held(two + (["y"] * 20 + item[20:38] + ["z"] * 20 + item[38:50]) * 9, item, {})[0] >= 0.34
+    assert leakage.held(two, item)[0] == 0.34
+    assert leakage.held(two + (["y"] * 20 + item[20:38] + ["z"] * 20 + item[38:50]) * 9, item)[0] >= 0.34
     assert _leaked((["y"] * 20 + item[17:35]) * 9 + ["z"] * 20 + two, item)
 
 
@@ -79,7 +80,7 @@ def test_best_pair_of_passages_against_all_pairs():
         spans = leakage.passages(doc, item)
         sizes = [x[3] - x[2] for x in spans]
         sizes += [x[3] - x[2] + y[3] - y[2] for x in spans for y in spans if x[1] <= y[0] and (x[3] <= y[2] or y[3] <= x[2])]
-        assert leakage.held(doc, item, {})[0] == max(sizes, default=0) / len(item)
+        assert leakage.held(doc, item)[0] == max(sizes, default=0) / len(item)
 
 
 def test_long_tags_are_no_words():
