@@ -149,3 +149,22 @@ def test_recurrent_lines_are_subtracted(spark):
     own = [(k, f"Our own menu line here\n{error}", "a") for k in range(8)] + [(100, f"A line of its own here\n{error}", "a")] + [(200 + k, "Our own menu line here", "a") for k in range(3)]
     got = {r.doc_id for r in residue.residue(spark.createDataFrame(own, "doc_id long, text string, source string")).collect()}
     assert got == set(range(8))
+
+
+OTHER_WORDS = ["We could not load this record. Come back later.", "Ein interner Serverfehler ist aufgetreten.", "Una excepción ocurrió en el servidor", "502", "Name: <insert name>", "Dear :first_name, see [SPECIES NAME].", "Dear {first_name}, welcome", f"Kept in [INSERT {'a b ' * 40}] until May", "O servidor não está disponível no momento.", "Le serveur a rencontré une erreur.", "La page demandée n'existe pas."]
+OWN_WORDS = ["The set {ab, cd} is closed; ratio 4:6 of leaves.", "We could not reach the ridge, so the traps stayed out.", "An error of 3 mm was found in the wing of a beetle kept in the museum at Town. It is small.", "The browser deer ate the young birch.", "Nicht alle Blätter wurden gefunden.", "Page 404 of the diary lists 12 birds.", "a [sic] b [illegible] c (:) d"]
+
+
+def test_messages_and_slots_in_words_of_no_list(spark):
+    rows = [(k, t, "w") for k, t in enumerate(OTHER_WORDS)] + [(100 + k, t, "w") for k, t in enumerate(OWN_WORDS)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == set(range(len(OTHER_WORDS))), ([OTHER_WORDS[k] for k in range(len(OTHER_WORDS)) if k not in got], [OWN_WORDS[k - 100] for k in got if k >= 100])
+
+
+def test_long_recurrent_lines_and_learned_companions(spark):
+    line = "this is the line that our site puts under every page of the whole collection"
+    rows = [(k, f"{line}\nError: something went wrong.", "a") for k in range(10)]
+    rows += [(20 + k, f"Not found: this page does not exist. Have a beetle of the month {k} instead.", "b") for k in range(6)]
+    rows += [(40 + k, f"A walk of {k} km along the river gave us two beetles.", "b") for k in range(6)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == set(range(10)) | set(range(20, 26))
