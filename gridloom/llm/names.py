@@ -2,9 +2,10 @@
 
 Spellings are parsed into forms (surname, given name or initials; or town, kind of institution, subject). MinHash
 banding over the padded q-grams of the surname or town proposes pairs; the number of bands follows from the collision
-curve and a wanted recall. Pairs are verified by Monge-Elkan similarity over the parsed tokens, with what abbreviation,
-reordering, nicknames and a slip of typing may change. Verified links are clustered into stars around the most
-complete forms, so that a bare "W. Smith" does not tie two Smiths together.
+curve and a wanted recall. The letters of a q-gram are put in order, so that two swapped letters change two q-grams, not
+three. Pairs are verified by Monge-Elkan similarity over the parsed tokens, with what abbreviation, reordering, nicknames
+and a slip of typing may change; nicknames are learned from spellings that give both names. Verified links are
+clustered into stars around the most complete forms, so that a bare "W. Smith" does not tie two Smiths together.
 """
 
 from __future__ import annotations
@@ -25,25 +26,14 @@ from gridloom.operators.skew import maybe_broadcast, salted_join
 from gridloom.storage import checkpointed
 
 ROWS_PER_BAND, FLOOR, RECALL = 4, 0.4, 0.99
-#: Distinct surnames a word must stand before to count as a given name.
-GIVEN_SUPPORT = 3
+#: Forms are linked at this Monge-Elkan similarity: above it no token of two or three may be without its partner.
+THRESHOLD = 0.8
+#: Surnames with which a nickname and the name it stands for must be written together.
+NICK_SUPPORT = 2
 
 #: Titles before a name.
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "mag", "ing"}
 
-#: Short forms of given names and the names they may stand for.
-NICKNAMES = {
-    "al": "albert alan alfred", "alex": "alexander alexandra", "andy": "andrew", "annie": "anna anne", "art": "arthur", "barb": "barbara", "becky": "rebecca", "ben": "benjamin", "bernie": "bernard",
-    "bert": "albert robert herbert", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine katherine", "charlie": "charles", "chris": "christopher christine christina",
-    "cindy": "cynthia", "dan": "daniel", "danny": "daniel", "dave": "david", "debbie": "deborah", "dick": "richard", "dolly": "dorothy", "don": "donald", "dot": "dorothy", "dottie": "dorothy", "doug": "douglas", "drew": "andrew", "ed": "edward edwin", "eddie": "edward",
-    "eliza": "elizabeth", "ellie": "eleanor", "etta": "henrietta", "fran": "frances francisco", "frank": "francis francisco", "fred": "frederick alfred", "gabe": "gabriel", "gene": "eugene", "greg": "gregory", "hank": "henry", "hans": "johannes", "harry": "henry harold", "hattie": "henrietta",
-    "isa": "isabella", "bella": "isabella", "izzy": "isabella", "jack": "john", "jan": "johannes janet", "jake": "jacob", "jen": "jennifer", "jenny": "jennifer", "jess": "jessica", "jim": "james", "jimmy": "james", "joe": "joseph", "jon": "jonathan", "kate": "katherine catherine", "kathy": "katherine kathleen", "katie": "katherine",
-    "ken": "kenneth", "kim": "kimberly", "kit": "christopher katherine", "larry": "lawrence", "len": "leonard leonardo", "leo": "leonardo leonard", "liz": "elizabeth", "lizzie": "elizabeth", "lou": "louis louise", "maggie": "margaret", "mandy": "amanda", "marge": "margaret", "matt": "matthew", "meg": "margaret", "mick": "michael",
-    "mike": "michael", "nat": "nathaniel natalie", "nate": "nathaniel", "ned": "edward", "nick": "nicholas", "ollie": "oliver", "paco": "francisco", "pam": "pamela", "pancho": "francisco", "pat": "patricia patrick", "patty": "patricia", "peg": "margaret", "peggy": "margaret", "pete": "peter", "phil": "philip", "rick": "richard", "rich": "richard",
-    "rob": "robert", "ron": "ronald", "ros": "rosalind", "rosie": "rosalind", "roz": "rosalind", "sally": "sarah", "sam": "samuel samantha", "sandy": "alexander sandra", "sasha": "alexander alexandra", "steve": "stephen steven", "sue": "susan", "susie": "susan", "suzy": "susan", "ted": "edward theodore", "terry": "terence theresa", "theo": "theodore",
-    "tim": "timothy", "toby": "tobias", "tom": "thomas", "tommy": "thomas", "toni": "antonio antonia", "tony": "anthony antonio", "tori": "victoria", "trish": "patricia", "tricia": "patricia", "vicky": "victoria", "ulla": "ursula ulrike", "uschi": "ursula", "vic": "victor victoria", "walt": "walter", "wes": "wesley", "will": "william", "yoli": "yolanda", "zach": "zachary", "zack": "zachary",
-}
-
 #: Kinds of institution, in full; what is typed may be a part of them or one slip away.
 KINDS = ("museum", "garden", "centre", "university", "laboratory", "institute", "department", "school", "college", "academy", "herbarium", "station", "society", "faculty", "foundation", "collection", "survey", "office", "agency")
 #: Short forms of these that are not their beginnings, and other spellings.
@@ -156,10 +146,6 @@ def _institution(kind: str, subject: list[str], town: list[str]) -> dict:
     return {"core": "".join(map(_letters, town)), "given": " ".join([kind, *marked]).strip(), "initials": kind[:1] + "".join(_letters(w)[0] for w in words)}
 
 
-def meant_names(word: str) -> set[str]:
-    return set(NICKNAMES.get(word, "").split()) or {word}
-
-
 def _close(a: str, b: str) -> bool:
     """The same word but for one slip of typing (two in a long word), or m for rn."""
     if a == b:
@@ -174,31 +160,36 @@ def _close(a: str, b: str) -> bool:
 def _given_alike(a: str, b: str) -> float:
     if len(a) <= 1 or len(b) <= 1:
         return 1.0 if a[:1] == b[:1] else 0.0
-    if a == b or meant_names(a) & meant_names(b):
-        return 1.0
-    return max((jaro_winkler(x, y) if _close(x, y) else 0.0) for x in meant_names(a) for y in meant_names(b))
+    return jaro_winkler(a, b) if _close(a, b) else 0.0
+
+
+def _given_names(p: dict) -> list[str]:
+    """The given name or first initial, the nickname, and the names these may stand for."""
+    return [x for x in [p["given"] or p["initials"][:1], p["nick"], *(p["means"] or "").split()] if x]
 
 
 def same_person(a: dict, b: dict) -> float:
-    """Monge-Elkan similarity of two parsed persons; 0 where they contradict each other."""
-    if not a["core"] or not b["core"] or not _close(a["core"], b["core"]):
-        return 0.0
-    mine, other = [a["given"] or a["initials"][:1], a["nick"]], [b["given"] or b["initials"][:1], b["nick"]]
-    mine, other = [x for x in mine if x], [x for x in other if x]
-    if not mine or not other:
+    """Monge-Elkan similarity of two parsed persons over surname, given name and, where both have one, middle initial.
+
+    Tokens meet tokens of their kind only; words more than a slip apart have no similarity; a person without any
+    given name is like nobody.
+    """
+    mine, other = _given_names(a), _given_names(b)
+    if not a["core"] or not b["core"] or not mine or not other:
         return 0.0
     given = max(_given_alike(x, y) for x in mine for y in other)
-    if given == 0.0:
-        return 0.0
-    x, y = a["initials"][1:], b["initials"][1:]
-    if x and y and x[:1] != y[:1]:
-        return 0.0
-    tokens = lambda p: [p["core"], "\x01" + (p["given"] or p["initials"][:1])]
+    x, y = a["initials"][1:2], b["initials"][1:2]
+    both = bool(x and y)
+    tokens = lambda p: ["s" + p["core"], "g", *(["m" + p["initials"][1:2]] if both else [])]
 
     def alike(u: str, v: str) -> float:
-        if (u[0] == "\x01") != (v[0] == "\x01"):
+        if u[0] != v[0]:
             return 0.0
-        return given if u[0] == "\x01" else jaro_winkler(u, v)
+        if u[0] == "g":
+            return given
+        if u[0] == "m":
+            return float(u == v)
+        return jaro_winkler(u[1:], v[1:]) if _close(u[1:], v[1:]) else 0.0
 
     return monge_elkan(tokens(a), tokens(b), alike)
 
@@ -211,23 +202,32 @@ def _subject_alike(u: str, v: str) -> float:
 
 
 def same_institution(a: dict, b: dict) -> float:
-    """Monge-Elkan similarity of two parsed institutions; 0 where town, kind or subject differ."""
-    if not a["core"] or not b["core"] or not _close(a["core"], b["core"]):
-        return 0.0
-    town = jaro_winkler(a["core"], b["core"])
-    if not a["given"] or not b["given"]:
-        short, full = (a, b) if not a["given"] else (b, a)
-        if short["initials"] == full["initials"] and short["initials"]:
-            return (town + 1.0) / 2
+    """Monge-Elkan similarity of two parsed institutions over town, kind and subject, or town and acronym."""
+    if not a["core"] or not b["core"]:
         return 0.0
+    acronym = not a["given"] or not b["given"]
     u, v = a["given"].split(), b["given"].split()
-    if u[0] != v[0]:
-        return 0.0
-    subject = monge_elkan(u[1:], v[1:], _subject_alike) if len(u) == len(v) else 0.0
-    joined, other = "".join(u[1:]).replace(".", ""), "".join(v[1:]).replace(".", "")
-    if subject < 0.9 and not (joined and other and edits(joined, other, 2) <= 2):
-        return 0.0
-    return (town + max(subject, 0.9)) / 2
+    if acronym:
+        mine, other = ["a" + a["initials"]], ["a" + b["initials"]]
+    else:
+        mine, other = ["k" + u[0], *(["w"] if u[1:] or v[1:] else [])], ["k" + v[0], *(["w"] if u[1:] or v[1:] else [])]
+
+    def subject() -> float:
+        """The subject's words by Monge-Elkan; words that were run together, by their letters."""
+        joined, rest = "".join(u[1:]).replace(".", ""), "".join(v[1:]).replace(".", "")
+        words = monge_elkan(u[1:], v[1:], _subject_alike) if len(u) == len(v) else 0.0
+        return max(words if words >= 0.9 else 0.0, 0.9 if joined and rest and edits(joined, rest, 2) <= 2 else 0.0)
+
+    def alike(x: str, y: str) -> float:
+        if x[0] != y[0]:
+            return 0.0
+        if x[0] == "w":
+            return subject()
+        if x[0] in "ak":
+            return float(x == y and len(x) > 1)
+        return jaro_winkler(x[1:], y[1:]) if _close(x[1:], y[1:]) else 0.0
+
+    return monge_elkan(["t" + a["core"], *mine], ["t" + b["core"], *other], alike)
 
 
 def bands_needed(similarity: float, recall: float, rows: int) -> int:
@@ -235,18 +235,34 @@ def bands_needed(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def band_grams(core: str) -> set[str]:
+    """The padded 2-grams of a word, the letters of each in alphabetical order, with m for rn."""
+    return {"".join(sorted(g)) for g in qgrams(core.replace("rn", "m"), 2)}
+
+
+def _band_hashes(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
+
+
 def _band_keys(core: str, bands: int, rows: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    grams = np.array(sorted({xxhash.xxh32_intdigest(g) for g in qgrams(core, 2)}), dtype=np.uint64)
+    grams = np.array(sorted({xxhash.xxh32_intdigest(g) for g in band_grams(core)}), dtype=np.uint64)
     mixed = (grams[:, None] * a[None, :] + b[None, :]) >> np.uint64(32)  # multiply-shift hashing
     signature = mixed.min(axis=0).astype(np.uint64).reshape(bands, rows)
     return [xxhash.xxh64_intdigest(signature[k].tobytes(), seed=k) - (1 << 63) for k in range(bands)]
 
 
-_FORM = "field_name string, core string, given string, initials string, nick string"
+_FORM = "field_name string, core string, given string, initials string, nick string, means string"
+_PARSED = "field_name string, core string, given string, initials string, nick string"
 
 
 def name_forms(names: DataFrame) -> DataFrame:
-    """(name_id, field_name, core, given, initials, nick) of every spelling; two plain words are read in the order their use as given names tells."""
+    """(name_id, field_name, core, given, initials, nick, means) of every spelling.
+
+    Two plain words are read the other way round if, in spellings that leave no doubt, the first stands as a surname and
+    the second as a given name more often than the reverse. means: the given names, separated by blanks, that a given
+    name or nickname may stand for, learned from spellings that write both (`William "Bill" Smith`).
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -256,26 +272,28 @@ def name_forms(names: DataFrame) -> DataFrame:
                 rows.append((i, f, p["core"], p["given"], p["initials"], p["nick"], p["sure"], p["swap"]))
             yield pd.DataFrame(rows, columns=["name_id", "field_name", "core", "given", "initials", "nick", "sure", "swap"])
 
-    parsed = names.select("name_id", "field_name", "spelling").dropna().mapInPandas(parse, f"name_id long, {_FORM}, sure boolean, swap string")
+    parsed = names.select("name_id", "field_name", "spelling").dropna().mapInPandas(parse, f"name_id long, {_PARSED}, sure boolean, swap string")
     parsed = checkpointed(parsed.where(F.col("core") != ""))
     sure = parsed.where(F.col("sure") & (F.col("field_name") == "collectors") & (F.length("given") > 1))
-    support = sure.groupBy("given").agg(F.countDistinct("core").alias("n")).where(F.col("n") >= GIVEN_SUPPORT).select("given")
-    nicks = names.sparkSession.createDataFrame([(k,) for k in NICKNAMES], "given string")
-    known = maybe_broadcast(support.union(nicks).distinct())
+    uses = sure.select(F.col("given").alias("word"), F.col("core").alias("with"), F.lit(1).alias("use")).union(sure.select("core", "given", F.lit(-1))).distinct()
+    uses = uses.groupBy("word").agg(F.sum("use").alias("lean"))  # more surnames after it than given names before it
     asked = parsed.where(F.col("swap") != "")
-    asked = asked.join(known.select(F.col("given"), F.lit(True).alias("first_known")), "given", "left").join(known.select(F.col("given").alias("core"), F.lit(True).alias("last_known")), "core", "left")
-    turned = F.col("last_known").isNotNull() & F.col("first_known").isNull()
+    words = maybe_broadcast(uses)
+    asked = asked.join(words.select(F.col("word").alias("given"), F.col("lean").alias("first")), "given", "left").join(words.select(F.col("word").alias("core"), F.col("lean").alias("last")), "core", "left")
+    turned = F.coalesce("last", F.lit(0)) > F.coalesce("first", F.lit(0))
     asked = asked.select("name_id", "field_name", F.when(turned, F.col("given")).otherwise(F.col("core")).alias("core"), F.when(turned, F.col("core")).otherwise(F.col("given")).alias("given"), "nick").withColumn("initials", F.substring("given", 1, 1))
     columns = ["name_id", "field_name", "core", "given", "initials", "nick"]
-    return parsed.where(F.col("swap") == "").select(columns).unionByName(asked.select(columns))
+    forms = checkpointed(parsed.where(F.col("swap") == "").select(columns).unionByName(asked.select(columns)))
+    written_both = forms.where((F.col("nick") != "") & (F.length("given") > 1)).groupBy("nick", "given").agg(F.countDistinct("core").alias("n")).where(F.col("n") >= NICK_SUPPORT)
+    stands_for = maybe_broadcast(written_both.groupBy(F.col("nick").alias("short")).agg(F.array_join(F.array_sort(F.collect_set("given")), " ").alias("names")))  # a vocabulary of names
+    out = forms.join(stands_for.select(F.col("short").alias("given"), F.col("names").alias("m1")), "given", "left").join(stands_for.select(F.col("short").alias("nick"), F.col("names").alias("m2")), "nick", "left")
+    return out.select(*columns, F.concat_ws(" ", "m1", "m2").alias("means"))
 
 
-def link_forms(forms: DataFrame, floor: float = FLOOR, recall: float = RECALL, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """(a, b, similarity): verified links between distinct forms (form ids of `forms`: form_id and the parsed columns)."""
+def link_forms(forms: DataFrame, floor: float = FLOOR, recall: float = RECALL, rows: int = ROWS_PER_BAND, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, similarity): the links between distinct forms (form ids of `forms`: form_id and the parsed columns)."""
     bands = bands_needed(floor, recall, rows)
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
+    a, b = _band_hashes(bands, rows)
 
     def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Block letter of a form: the given name's first letter, also of the names a nickname may stand for."""
@@ -284,7 +302,7 @@ def link_forms(forms: DataFrame, floor: float = FLOOR, recall: float = RECALL, r
             for r in x.itertuples(index=False):
                 marks = {""}
                 if r.field_name == "collectors":
-                    marks = {m[:1] for w in (r.given, r.nick) if w for m in meant_names(w) | {w}} | ({r.initials[:1]} if r.initials else set())
+                    marks = {m[:1] for m in _given_names(r._asdict())} | ({r.initials[:1]} if r.initials else set())
                 out += [(r.form_id, r.field_name, m, r.core) for m in marks]
             yield pd.DataFrame(out, columns=["form_id", "field_name", "letter", "core"])
 
@@ -298,7 +316,9 @@ def link_forms(forms: DataFrame, floor: float = FLOOR, recall: float = RECALL, r
                 yield pd.DataFrame(out, columns=["field_name", "letter", "core", "band"])
 
     keys = ["field_name", "letter"]
-    buckets = cores.mapInPandas(bucket, "field_name string, letter string, core string, band long")
+    # Spread by hand, as the rows are few and the bands many; written, as the join reads them three times.
+    spread = cores.repartition(cores.sparkSession.sparkContext.defaultParallelism, "letter", "core")
+    buckets = checkpointed(spread.mapInPandas(bucket, "field_name string, letter string, core string, band long"))
     other = buckets.withColumnRenamed("core", "other")
     pairs = salted_join(buckets, other, [*keys, "band"]).where((F.col("core") < F.col("other")) & (F.abs(F.length("core") - F.length("other")) <= 3)).select(*keys, "core", "other").distinct()
 
@@ -317,7 +337,7 @@ def link_forms(forms: DataFrame, floor: float = FLOOR, recall: float = RECALL, r
         for z in batches:
             sims = [(same_person if f == "collectors" else same_institution)(p, q) for f, p, q in zip(z["field_name"], z["x"], z["y"])]
             out = z[["a", "b"]].assign(similarity=sims)
-            yield out[out["similarity"] > 0]
+            yield out[out["similarity"] >= threshold]
 
     return full.select("field_name", "a", "b", "x", "y").mapInPandas(verify, "a long, b long, similarity double")
 
@@ -355,11 +375,11 @@ def same_names(names: DataFrame) -> DataFrame:
     no letter in it, are left out (they mean nobody). Repeated rows count once. Only spellings of one field_name are tied.
     """
     forms = checkpointed(name_forms(names).dropDuplicates(["name_id"]))
-    columns = ["field_name", "core", "given", "initials", "nick"]
+    columns = ["field_name", "core", "given", "initials", "nick", "means"]
     distinct = checkpointed(forms.groupBy(*columns).agg(F.min("name_id").alias("form_id")))
     links = checkpointed(link_forms(distinct))
     # Complete forms make centres: a full given name, then more initials, then more links.
-    complete = F.when(F.length("given") > 1, 2).otherwise(0) + F.least(F.length("initials"), F.lit(2)) + F.when(F.col("nick") != "", 0).otherwise(0)
+    complete = F.when(F.length("given") > 1, 2).otherwise(0) + F.least(F.length("initials"), F.lit(2))
     member = stars(distinct.select("form_id", complete.cast("int").alias("rank")), links)
     return forms.join(distinct, columns).join(member, "form_id").select("name_id", "field_name", "star")
 

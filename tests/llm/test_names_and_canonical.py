@@ -47,7 +47,37 @@ INSTITUTES = [
 
 def _known_givens():
     # Enough surnames behind each given name for it to count as one.
-    return [f"{g} {m}. {s}" for g, m in (("Michael", "A"), ("William", "B"), ("Lawrence", "C"), ("Ingrid", "D")) for s in ("Bacagod", "Dufihuk", "Lemonip", "Rasotuv")]
+    givens = [f"{g} {m}. {s}" for g, m in (("Michael", "A"), ("William", "B"), ("Lawrence", "C"), ("Ingrid", "D")) for s in ("Bacagod", "Dufihuk", "Lemonip", "Rasotuv")]
+    # Nicknames are learned from spellings that give both names.
+    return givens + [f'{g} "{n}" {s}' for g, n in (("Michael", "Mike"), ("Lawrence", "Larry"), ("Charlotte", "Lottie")) for s in ("Gibecol", "Hotadam", "Juvirep")]
+
+
+def test_bands_find_words_a_slip_apart():
+    rnd = random.Random(2)
+    bands = names.bands_needed(names.FLOOR, names.RECALL, names.ROWS_PER_BAND)
+    a, b = names._band_hashes(bands, names.ROWS_PER_BAND)
+    keys = lambda w: set(names._band_keys(w, bands, names.ROWS_PER_BAND, a, b))
+    pairs, met = 0, 0
+    for _ in range(400):
+        w = "".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(rnd.randint(4, 12)))
+        k = rnd.randrange(1, len(w) - 1)
+        for v in (w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[:k] + "z" + w[k + 1 :]):
+            if v != w and names._close(w, v):
+                pairs += 1
+                met += bool(keys(w) & keys(v))
+    assert met >= 0.98 * pairs
+    for w, v in (("smith", "smiht"), ("lopez", "lpoez"), ("park", "prak"), ("wong", "wnog"), ("barnes", "bames")):
+        assert keys(w) & keys(v), (w, v)
+
+
+def test_threshold_decides(spark):
+    rows = [(1, "collectors", "Charlotte Smith", ""), (2, "collectors", "Lottie Smith", ""), (3, "collectors", "Bertram Smith", "")]
+    rows += [(100 + k, "collectors", s, "") for k, s in enumerate(_known_givens())]
+    assert [p for p in _pairs(spark, rows) if p[1] < 100] == [(1, 2)]
+    person = lambda s: names.parse_person(s) | {"means": ""}
+    assert names.same_person(person("Ann B. Smith"), person("Smith, A.B.")) == 1.0
+    assert names.same_person(person("Ann B. Smith"), person("Ann C. Smith")) < names.THRESHOLD
+    assert 0 < names.same_person(person("Ann Smith"), person("Ann Jones")) < names.THRESHOLD
 
 
 def _pairs(spark, rows):
