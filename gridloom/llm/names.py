@@ -25,7 +25,7 @@ from gridloom.llm.textkeys import edits, folded, jaro_winkler, monge_elkan, qgra
 from gridloom.operators.skew import maybe_broadcast, salted_join
 from gridloom.storage import checkpointed
 
-ROWS_PER_BAND, FLOOR, RECALL = 4, 0.4, 0.99
+ROWS_PER_BAND, FLOOR, RECALL = 3, 0.42, 0.99
 #: Forms are linked at this Monge-Elkan similarity: above it no token of two or three may be without its partner.
 THRESHOLD = 0.8
 #: Surnames with which a nickname and the name it stands for must be written together.
