@@ -1,11 +1,13 @@
 """Mapping freely typed names to a canonical list.
 
 Distinct values are normalised into query forms; a character n-gram inverted index over the list's forms gives
-candidates; weighted (idf) cosine scores them; a candidate is accepted above a threshold and with a margin over the
-next entry, after an exact check of what the typing may have changed. The rest is reported as unmatched.
+candidates; weighted (idf) cosine scores and ranks them; the best is accepted above a threshold and with a margin over
+the best of another entry. An exact check vetoes candidates that differ by more than typing explains: the index cannot
+tell two species of one genus with alike endings from one species misspelt. The rest is reported as unmatched.
 
 Retrieval is exact: the list is indexed whole, in blocks that a task can hold, and every distinct value is scored
 against every entry that shares an n-gram with it. Values are never shuffled by n-gram, so a frequent one is no hot key.
+The index is a written table; tasks read it block by block, and the driver holds none of it.
 """
 
 from __future__ import annotations
@@ -19,16 +21,18 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.textkeys import edits, folded, qgrams
+from gridloom.storage import checkpointed, written
 
 #: N-grams are hashed into so many slots: the weights fit into one array whatever the list's alphabet.
 SLOTS = 1 << 16
 THRESHOLD, MARGIN, MOST_EDITS = 0.3, 0.02, 3
-#: The list is held by every task in blocks of about so many forms; a longer list takes more passes over the values.
+#: The list is held by every task in blocks of about so many forms, one after the other.
 BLOCK_FORMS = 200_000
+#: Values that meet one block before the next is read.
+BATCH = 50_000
 
 #: Marks of doubt, which do not change the name that is meant.
 DOUBT = {"cf", "aff", "nr", "near", "conf", "prope", "affin", "x", "cfr"}
@@ -106,20 +110,20 @@ def _meant(genus: str, epithet: str, kind: str, entry_genus: str, entry_epithet:
 
 
 class GramIndex:
-    """An inverted index over the forms of a block: for every slot the entries that have it, with their weights."""
-
-    def __init__(self, rows: list[tuple], idf: np.ndarray):
-        self.rows = rows
-        slots, owners, weights = [], [], []
-        for n, (_, form, kind, _, _) in enumerate(rows):
-            for k, x in _vector(form, kind, idf).items():
-                slots.append(k)
-                owners.append(n)
-                weights.append(x)
-        order = np.argsort(np.array(slots, dtype=np.int64), kind="stable")
-        self.owners = np.array(owners, dtype=np.int64)[order]
-        self.weights = np.array(weights, dtype=np.float64)[order]
-        self.starts = np.searchsorted(np.array(slots, dtype=np.int64)[order], np.arange(SLOTS + 1))
+    """An inverted index over the forms of a block: for every slot the entries that have it, with their weights.
+
+    `table`: columns id, kind, genus, epithet, slots (list of int) and weights (list of float) of every form.
+    """
+
+    def __init__(self, table):
+        self.rows = list(zip(*(table[c].to_pylist() for c in ("id", "kind", "genus", "epithet"))))
+        flat = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table[c].chunks] or [np.empty(0)])
+        sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in table["slots"].chunks] or [np.empty(0, dtype=np.int64)]).astype(np.int64)
+        slots = flat("slots").astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        self.owners = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.weights = flat("weights").astype(np.float64)[order]
+        self.starts = np.searchsorted(slots[order], np.arange(SLOTS + 1))
 
     def near(self, form: str, kind: str, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(entry, cosine) of every entry at or above the threshold."""
@@ -128,23 +132,50 @@ class GramIndex:
             part = slice(self.starts[k], self.starts[k + 1])
             owners.append(self.owners[part])
             weights.append(self.weights[part] * x)
-        cosine = np.bincount(np.concatenate(owners), np.concatenate(weights), minlength=len(self.rows)) if owners else np.zeros(len(self.rows))
+        if not owners:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        who, of = np.unique(np.concatenate(owners), return_inverse=True)
+        cosine = np.bincount(of, np.concatenate(weights), minlength=len(who))
         hit = np.flatnonzero(cosine >= threshold)
-        return hit, cosine[hit]
+        return who[hit], cosine[hit]
+
+
+def _read_block(path: str, block: int):
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
 
+    fs, where = pafs.FileSystem.from_uri(path)
+    return ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["id", "kind", "genus", "epithet", "slots", "weights"], filter=ds.field("block") == block)
 
-def _matcher(held, idf, threshold: float):
+
+def _matcher(path: str, blocks: int, idf, threshold: float):
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = GramIndex(held.value, idf.value)
-        for b in batches:
+        held: tuple[int, GramIndex | None] = (-1, None)
+
+        def against(values: pd.DataFrame) -> pd.DataFrame:
+            nonlocal held
             found = []
-            for r in b.itertuples(index=False):
-                for n, cosine in zip(*index.near(r.form, r.kind, idf.value, threshold)):
-                    i, _, kind, genus, epithet = index.rows[n]
-                    d = _meant(r.genus, r.epithet, r.kind, genus, epithet) if kind == r.kind else MOST_EDITS + 1
-                    if d <= MOST_EDITS:
-                        found.append((r.value, i, float(cosine), d))
-            yield pd.DataFrame(found, columns=["value", "id", "cosine", "edits"])
+            for block in range(blocks):
+                if held[0] != block:
+                    held = (block, GramIndex(_read_block(path, block)))
+                index = held[1]
+                for r in values.itertuples(index=False):
+                    for n, cosine in zip(*index.near(r.form, r.kind, idf.value, threshold)):
+                        i, kind, genus, epithet = index.rows[n]
+                        d = _meant(r.genus, r.epithet, r.kind, genus, epithet) if kind == r.kind else MOST_EDITS + 1
+                        if d <= MOST_EDITS:
+                            found.append((r.value, i, float(cosine), d))
+            return pd.DataFrame(found, columns=["value", "id", "cosine", "edits"])
+
+        waiting, n = [], 0
+        for b in batches:  # many values meet a block before the next one is read
+            waiting.append(b)
+            n += len(b)
+            if n >= BATCH:
+                yield against(pd.concat(waiting))
+                waiting, n = [], 0
+        if waiting:
+            yield against(pd.concat(waiting))
 
     return match
 
@@ -153,9 +184,9 @@ def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str
     """(value, entry_id, cosine, edits): for each distinct typed value the entry it means; unmatched values are absent.
 
     `entries`: one row per canonical "Genus epithet" name (other names are ignored, null and blank ones too; of rows
-    with the same name the lowest id counts). Null and blank values match nothing. If the best candidate that the
-    exact check leaves has a rival for another name with as few edits and a cosine within `margin`, the value is
-    unmatched. Either input may be empty. All values and all candidates above the threshold are weighed.
+    with the same name the lowest id counts). Null and blank values match nothing. Of the candidates that the exact
+    check leaves the one of the highest cosine is meant; if another entry's is within `margin`, none is. Either input may
+    be empty. All values and all candidates above the threshold are weighed.
     """
     spark = values.sparkSession
     typed = values.select(F.col(value).alias("value")).where(F.regexp_replace(F.col(value), r"\s", "") != "").distinct()
@@ -178,7 +209,7 @@ def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str
     listed = entries.where(F.regexp_replace(F.col(entry_name), r"\s", "") != "").groupBy(F.lower(F.trim(F.col(entry_name))).alias("name")).agg(F.min(entry_id).alias("id"))
     id_type = listed.schema["id"].dataType.simpleString()
     index = listed.mapInPandas(entry_forms, f"id {id_type}, form string, kind string, genus string, epithet string")
-    queries = typed.repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(forms, _NAME)
+    queries = typed.repartition(spark.sparkContext.defaultParallelism).mapInPandas(forms, _NAME)
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,14 +224,19 @@ def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str
         weights[slot] = math.log(1 + n_forms / n)
     idf = spark.sparkContext.broadcast(weights)
 
-    scored = spark.createDataFrame([], f"value string, id {id_type}, cosine double, edits int")
     blocks = math.ceil(n_forms / block_forms)
-    for block in range(blocks):
-        own = index.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about block_forms short rows at most
-        scored = scored.unionByName(queries.mapInPandas(_matcher(held, idf, threshold), scored.schema))
-    one = scored.groupBy("value", "id").agg(F.min(F.struct("edits", (-F.col("cosine")).alias("minus"))).alias("m")).select("value", "id", F.col("m.edits").alias("edits"), (-F.col("m.minus")).alias("cosine"))
-    w = W.partitionBy("value").orderBy("edits", F.desc("cosine"), "id")
-    ranked = one.withColumn("rank", F.row_number().over(w)).withColumn("next_edits", F.lead("edits").over(w)).withColumn("next_cosine", F.lead("cosine").over(w))
-    clear = F.col("next_edits").isNull() | (F.col("next_edits") > F.col("edits")) | (F.col("cosine") - F.col("next_cosine") >= margin)
-    return ranked.where((F.col("rank") == 1) & clear).select(F.col("value").alias(value), F.col("id").alias(entry_id), "cosine", "edits")
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            each = [_vector(f, k, idf.value) for f, k in zip(b["form"], b["kind"])]
+            yield b[["id", "kind", "genus", "epithet", "block"]].assign(slots=[list(v) for v in each], weights=[list(v.values()) for v in each])
+
+    numbered = index.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    _, path = written(numbered.mapInPandas(vectors, f"id {id_type}, kind string, genus string, epithet string, block int, slots array<int>, weights array<double>"), "gram-index")
+    scored = checkpointed(queries.mapInPandas(_matcher(path, blocks, idf, threshold), f"value string, id {id_type}, cosine double, edits int"))
+    one = scored.groupBy("value", "id").agg(F.max(F.struct("cosine", (-F.col("edits")).alias("minus"))).alias("m")).select("value", "id", F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("edits"))
+    # Each value's best two, combined before they are sent: the best, and the next for the margin.
+    best = one.groupBy("value").agg(F.max(F.struct("cosine", (-F.col("edits")).alias("minus"), "id")).alias("m"))
+    rivals = one.join(best, "value").where(F.col("id") != F.col("m.id")).groupBy("value").agg(F.max("cosine").alias("next_cosine"))
+    clear = F.col("next_cosine").isNull() | (F.col("m.cosine") - F.col("next_cosine") >= margin)
+    return best.join(rivals, "value", "left").where(clear).select(F.col("value").alias(value), F.col("m.id").alias(entry_id), F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("edits"))
