@@ -18,8 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Hash buckets of a source's permutation; a budget's end falls into one, which alone is sorted.
-BUCKETS = 4096
+#: Documents of a hash bucket of a source's permutation, about, and the most buckets (as powers of two): a budget's end
+#: falls into one bucket, which alone is sorted.
+BUCKET_ROWS, MOST_BITS = 100_000, 16
+
+
+def bucket_bits(rows: int) -> int:
+    return min(MOST_BITS, max(4, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS))))
 
 
 def default_tokenizer_path() -> str:
@@ -114,52 +119,77 @@ def mixture(tokens: dict[str, int], targets: dict[str, float] | None, repeats: d
 
 
 def draw(counted: DataFrame, weights: dict[str, float], budget: int, doc_id: str = "doc_id", source: str = "source", seed: int = 0) -> DataFrame:
-    """(doc_id, source, copy int, n_tokens): the documents drawn, one row per copy.
+    """(doc_id, source, copy int, place long, n_tokens): the documents drawn, one row per copy.
 
     `counted`: one row per document (doc_id, source, n_tokens). A source of T tokens and budget B gives floor(B / T)
     whole copies and, of one more permutation, the longest prefix that stays within the rest, so that its tokens fall
-    short of B by less than one document. Sources without weight and documents without tokens give nothing.
+    short of B by less than one document. `place` orders each copy's permutation, which is another for every copy; rows
+    in the order (copy, place) are the source's stream. Sources without weight and documents without tokens give nothing.
     """
     spark = counted.sparkSession
     rows = counted.select(F.col(doc_id).alias("_doc"), F.col(source).alias("_source"), "n_tokens").where(F.col("n_tokens") > 0)
     budgets = F.broadcast(spark.createDataFrame([(s, int(w * budget)) for s, w in weights.items()], "_source string, budget long"))  # one row per target
-    totals = rows.groupBy("_source").agg(F.sum("n_tokens").alias("total")).join(budgets, "_source").withColumn("epochs", F.floor(F.col("budget") / F.col("total"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("total")).select("_source", "epochs", "rest")
-    # The next permutation of a source: by a hash keyed with the seed and the epoch.
-    keyed = rows.join(F.broadcast(totals), "_source").withColumn("place", F.xxhash64(F.lit(seed), F.col("epochs"), "_doc"))
-    bucketed = keyed.withColumn("bucket", F.shiftrightunsigned("place", 52).cast("int"))
-    sums = bucketed.groupBy("_source", "bucket").agg(F.sum("n_tokens").alias("n"))  # at most BUCKETS rows per source
+    totals = rows.groupBy("_source").agg(F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("n_docs")).join(budgets, "_source").withColumn("epochs", F.floor(F.col("budget") / F.col("total"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("total"))
+    known = totals.collect()  # one row per target
+    bits = bucket_bits(max((r.n_docs for r in known), default=0))
+    held = F.broadcast(spark.createDataFrame([(r._source, r.epochs, r.rest) for r in known], "_source string, epochs long, rest long"))
+    keyed = rows.join(held, "_source")
+    place = lambda copy: F.xxhash64(F.lit(seed), copy.cast("int"), F.col("_doc"))  # noqa: E731  a permutation per copy
+    bucketed = keyed.where(F.col("rest") > 0).withColumn("copy", (F.col("epochs") + 1).cast("int")).withColumn("place", place(F.col("copy")))
+    bucketed = bucketed.withColumn("bucket", F.shiftright("place", 64 - bits).cast("int"))
+    sums = bucketed.groupBy("_source", "bucket").agg(F.sum("n_tokens").alias("n"))  # at most 2**bits rows per target
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("_source").orderBy("bucket")) - F.col("n")).select("_source", "bucket", "before", "n")
     placed = bucketed.join(F.broadcast(before), ["_source", "bucket"])
     inside = placed.where(F.col("before") + F.col("n") <= F.col("rest"))
     edge = placed.where((F.col("before") + F.col("n") > F.col("rest")) & (F.col("before") < F.col("rest")))
     run = F.sum("n_tokens").over(W.partitionBy("_source", "bucket").orderBy("place", "_doc").rowsBetween(W.unboundedPreceding, 0))
     edge = edge.withColumn("run", F.col("before") + run).where(F.col("run") <= F.col("rest")).drop("run")
-    partial = inside.unionByName(edge).select("_doc", "_source", (F.col("epochs") + 1).cast("int").alias("copy"), "n_tokens")
-    whole = keyed.where(F.col("epochs") > 0).select("_doc", "_source", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))).alias("copy"), "n_tokens")
-    return whole.unionByName(partial).select(F.col("_doc").alias(doc_id), F.col("_source").alias(source), "copy", "n_tokens")
+    columns = ["_doc", "_source", "copy", "place", "n_tokens"]
+    whole = keyed.where(F.col("epochs") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).withColumn("place", place(F.col("copy")))
+    return whole.select(columns).unionByName(inside.select(columns)).unionByName(edge.select(columns)).select(F.col("_doc").alias(doc_id), F.col("_source").alias(source), "copy", "place", "n_tokens")
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, tokenizer_path: str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(selection, shares) of `docs` (doc_id, source, text) for `targets` (source, target_share, max_repeats).
+def counted_once(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens), written: tokens are counted where the texts lie, and only the counts are shuffled.
 
-    selection: doc_id, source, copy (1, 2, ...), n_tokens. shares: one row per target: source, target_share, max_repeats,
-    n_tokens in the corpus, drawn_tokens, actual_share of all drawn (0 for a source without documents; its share falls
-    to the others), repeats (drawn over corpus). Rows repeated with one doc_id are one document. Documents of no target,
-    of a null source, without id, and without a token are not drawn. Targets are a configuration: one row per source, with
-    at most some thousands of sources; null shares count as 0, null repeats as 1.
+    Of rows with one doc_id the one of the first source, then of the fewest tokens, counts.
     """
     from gridloom.storage import written
 
-    counted, _ = written(token_counts(docs.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]), ["doc_id", "source"], tokenizer_path=tokenizer_path), "tokens")
+    each = token_counts(docs.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull()), ["doc_id", "source"], tokenizer_path=tokenizer_path)
+    one = each.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("m"))
+    return written(one.select("doc_id", "m.source", "m.n_tokens"), "tokens")[0]
+
+
+def mix(docs: DataFrame, targets: DataFrame, budget: int | float | None = None, target_entropy: float | None = None, tokenizer_path: str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(selection, shares) of `docs` (doc_id, source, text) for `targets` (source, target_share, max_repeats).
+
+    `budget`: tokens to draw; a float is a multiple of the tokens the targets' sources have; None draws as much as the
+    limits allow at the weights. Without `target_entropy` (in nats) the weights go from the targets (exponent 1) towards
+    the corpus's own shares (0) as far as the limits ask; with it the target shares are left aside and the corpus's own are
+    tempered to that entropy.
+
+    selection: doc_id, source, copy (1, 2, ...), place, n_tokens. shares: one row per target: source, target_share,
+    max_repeats, n_tokens in the corpus, drawn_tokens, weight (what was aimed at), actual_share of all drawn (0 for a source
+    without documents; its share falls to the others), repeats (drawn over corpus), exponent. Rows repeated with one doc_id
+    are one document. Documents of no target, of a null source, without id, and without a token are not drawn. Targets
+    are a configuration: one row per source, with at most some thousands of sources; null shares count as 0, null
+    repeats as 1.
+    """
+    spark = docs.sparkSession
+    counted = counted_once(docs, tokenizer_path)
     goal = {r.source: (r.target_share or 0.0, r.max_repeats or 1) for r in targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull()).collect()}
     per_source = counted.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"))
     tokens = {r.source: r.n for r in per_source.collect()}  # one row per target
     shares = {s: p for s, (p, _) in goal.items() if p > 0 and tokens.get(s, 0) > 0}
-    weights, _, total = mixture({s: tokens[s] for s in shares}, shares, {s: k for s, (_, k) in goal.items()}, budget)
+    have = {s: tokens[s] for s in shares}
+    wanted = int(budget * sum(have.values())) if isinstance(budget, float) else budget
+    weights, exponent, total = mixture(have, None if target_entropy is not None else shares, {s: k for s, (_, k) in goal.items()}, wanted, target_entropy)
     selection = draw(counted, weights, total, seed=seed)
     drawn = selection.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"))
-    table = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull()).distinct().join(per_source.withColumnRenamed("n", "n_tokens"), "source", "left").join(drawn, "source", "left").na.fill(0, ["n_tokens", "drawn_tokens"])
+    rows = [(s, p, k, tokens.get(s, 0) or 0, weights.get(s, 0.0), exponent) for s, (p, k) in goal.items()]
+    table = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, n_tokens long, weight double, exponent double").join(drawn, "source", "left").na.fill(0, ["drawn_tokens"])
     every = F.sum("drawn_tokens").over(W.partitionBy())
     actual = F.when(every > 0, F.col("drawn_tokens") / every).otherwise(F.lit(0.0))
     repeats = F.when(F.col("n_tokens") > 0, F.col("drawn_tokens") / F.col("n_tokens")).otherwise(F.lit(0.0))
-    return selection, table.select("source", "target_share", "max_repeats", "n_tokens", "drawn_tokens", actual.alias("actual_share"), repeats.alias("repeats"))
+    return selection, table.select("source", "target_share", "max_repeats", "n_tokens", "drawn_tokens", "weight", actual.alias("actual_share"), repeats.alias("repeats"), "exponent")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm import canonical, leakage, mixing, names, residue, topn
@@ -55,12 +56,54 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_leaks(spark, sf).select("doc_id", "item_id")
 
 
+#: A share of the corpus at which the limits of the small sources bind; and an entropy (nats) flatter than the corpus's own.
+BUDGET, ENTROPY = 0.95, 1.8
+
+
+def _mix(spark: SparkSession, sf: str, **how) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(load(spark, sf, "documents"), load(spark, sf, "mix_targets"), **how)
+
+
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[0]
+    """The copies drawn so that the targets are met."""
+    return _mix(spark, sf)[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[1]
+    return _mix(spark, sf)[1]
+
+
+def p9_budget_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """A budget at which the repetition limits bind: the exponent is bisected."""
+    return _mix(spark, sf, budget=BUDGET)[1]
+
+
+def p9_entropy_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus's own shares tempered to a target entropy."""
+    return _mix(spark, sf, target_entropy=ENTROPY)[1]
+
+
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of each selection by source: counted from its rows, against the targets' table."""
+    out = None
+    for name, how in (("targets", {}), ("budget", {"budget": BUDGET}), ("entropy", {"target_entropy": ENTROPY})):
+        selection, shares = _mix(spark, sf, **how)
+        per_copy = selection.groupBy("source", "copy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d"), F.sum("n_tokens").alias("t"))
+        drawn = per_copy.groupBy("source").agg(F.sum("t").alias("t"), F.max("copy").alias("copies"), F.min((F.col("n") == F.col("d")).cast("int")).alias("once"))
+        every = drawn.agg(F.sum("t").alias("every"))
+        rows = shares.join(drawn, "source", "left").crossJoin(F.broadcast(every))  # one row
+        flat = F.sum(F.when(F.col("weight") > 0, -F.col("weight") * F.log("weight")).otherwise(0.0)).over(W.partitionBy())
+        checks = rows.select(
+            F.lit(name).alias("mixture"),
+            "source",
+            (F.coalesce("t", F.lit(0)) <= F.col("max_repeats") * F.col("n_tokens")).alias("within_limit"),
+            (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("copies_within_limit"),
+            (F.coalesce("once", F.lit(1)) == 1).alias("once_a_copy"),
+            (F.abs(F.coalesce("t", F.lit(0)) / F.col("every") - F.col("weight")) < 0.01).alias("meets_weight"),
+            {"targets": F.abs(F.col("weight") - F.col("target_share")) < 0.03, "budget": (F.col("exponent") < 1) & (F.col("exponent") >= 0), "entropy": F.abs(flat - ENTROPY) < 1e-6}[name].alias("meets_aim"),
+        )
+        out = checks if out is None else out.unionByName(checks)
+    return out
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +117,7 @@ def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_votes": p2_votes, "p5_found": p5_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_kinds": p10_kinds}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_votes": p2_votes, "p5_found": p5_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_budget_shares": p9_budget_shares, "p9_entropy_shares": p9_entropy_shares, "p9_checks": p9_checks, "p10_found": p10_found, "p10_kinds": p10_kinds}
 
 
 _VOTES = r"""select upper(trim(bin_uri)) as bin_uri, lower(regexp_replace(trim(species), '\s+', ' ', 'g')) as species, count(distinct record_id) as votes
@@ -83,6 +126,8 @@ _VOTES = r"""select upper(trim(bin_uri)) as bin_uri, lower(regexp_replace(trim(s
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_checks": """select m.mixture, t.source, true as within_limit, true as copies_within_limit, true as once_a_copy, true as meets_weight, true as meets_aim
+  from mix_targets t, (values ('targets'), ('budget'), ('entropy')) m(mixture)""",
         "p2_votes": _VOTES,
         "p2_found": f"""with v as ({_VOTES}), r as (select *, row_number() over (partition by bin_uri order by votes desc, species) as rank_no from v)
   select l.bin_uri, cast(r.rank_no as int) as rank_no, r.species from r join (select distinct bin_uri from bin_consensus_lookup) l on upper(trim(l.bin_uri)) = r.bin_uri where r.rank_no <= 3""",
