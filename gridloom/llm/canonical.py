@@ -134,8 +134,13 @@ class GramIndex:
             weights.append(self.weights[part] * x)
         if not owners:
             return np.empty(0, dtype=np.int64), np.empty(0)
-        who, of = np.unique(np.concatenate(owners), return_inverse=True)
-        cosine = np.bincount(of, np.concatenate(weights), minlength=len(who))
+        owners, weights = np.concatenate(owners), np.concatenate(weights)
+        if len(self.rows) <= 8 * len(owners):  # a dense sum is cheaper than sorting, unless few of many entries are met
+            cosine = np.bincount(owners, weights, minlength=len(self.rows))
+            hit = np.flatnonzero(cosine >= threshold)
+            return hit, cosine[hit]
+        who, of = np.unique(owners, return_inverse=True)
+        cosine = np.bincount(of, weights, minlength=len(who))
         hit = np.flatnonzero(cosine >= threshold)
         return who[hit], cosine[hit]
 
