@@ -1,10 +1,12 @@
 """Top N items within every group, reading only the row groups that can still matter.
 
-Scored items are written clustered by group, best first, so that a Parquet row group of a large group holds a range
-of its scores. Each file is then read by its footer: row groups in descending maximum score, and one that holds a
-single group whose N-th score so far is strictly above the row group's maximum is skipped. A group of millions of
-items spreads over many row groups and files, all but the first few of which are never read; what a task keeps is
-N rows per group of its file. A last merge takes N of the at most N rows per file and group.
+Groups of at most N items need no search: all of them come out. The items of larger groups are written clustered by
+group, best first, so that Parquet row groups of a large group hold ranges of its scores. Each file is then read by its
+footer: row groups in descending maximum score, and those whose maximum lies strictly below the N-th score so far of
+every group they hold are skipped. In a file sorted by group that can only be row groups of one group: one that holds
+several has the first rows of all but its first. A group of millions of items spreads over many row groups and files,
+all but the first few of which are never read; what a task keeps is N rows per group of its file. A last merge takes N of
+the at most N rows per file and group.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators.skew import salted_join
 from gridloom.storage import written
 
+#: Rows of a file, about, and bytes of its row groups: small enough for a large group to span many.
 FILE_ROWS = 1_000_000
-ROW_GROUP_BYTES = 2 << 20
+ROW_GROUP_BYTES = 128 << 10
 
 
 def read_top(path: str, group: str, item: str, score: str, n: int) -> tuple[pd.DataFrame, int, int]:
@@ -60,6 +64,40 @@ def read_top(path: str, group: str, item: str, score: str, n: int) -> tuple[pd.D
     return every.groupby(group, sort=False, dropna=False).head(n), read, skipped
 
 
+def _best_of_files(paths: DataFrame, columns: list[str], n: int, schema: str, counters: bool) -> DataFrame:
+    group, item, score = columns
+
+    def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                rows, read, skipped = read_top(p, group, item, score, n)
+                if counters:
+                    yield pd.DataFrame([(p.rsplit("/", 1)[-1], read, skipped)], columns=["file", "groups_read", "groups_skipped"])
+                else:
+                    # Plain objects: strings of several row groups come in chunks, which a batch of rows cannot hold.
+                    yield rows.astype({group: object, item: object})
+
+    return paths.mapInPandas(best_of, "file string, groups_read int, groups_skipped int" if counters else schema)
+
+
+def clustered(scored: DataFrame, group: str, item: str, score: str, n: int, file_rows: int = FILE_ROWS, row_group_bytes: int = ROW_GROUP_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the groups of at most n items, paths of the clustered files of the others or None)."""
+    spark = scored.sparkSession
+    table, _ = written(scored.select(group, item, score).dropna(), "scored")
+    large = table.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > n)
+    large, _ = written(large, "large-groups")
+    n_rows = large.agg(F.sum("_n")).first()[0] or 0
+    if not n_rows:
+        return table, None
+    rows = salted_join(table, large.select(group), [group], "left_semi")
+    # Clustered by group, a hot group over several files in score order.
+    order = [F.col(group), F.col(score).desc(), F.col(item)]
+    ranged = rows.repartitionByRange(max(1, math.ceil(n_rows / file_rows)), *order).sortWithinPartitions(*order)
+    sorted_table, _ = written(ranged, "clustered", {"parquet.block.size": str(row_group_bytes)})
+    names = sorted(sorted_table.inputFiles())
+    return table.join(large.select(group).hint("merge"), group, "left_anti"), spark.createDataFrame([(p,) for p in names], "path string").repartition(len(names))
+
+
 def top_n_per_group(scored: DataFrame, group: str, item: str, score: str, n: int, file_rows: int = FILE_ROWS, row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
     """(group, rank_no int from 1, item, score): for each group its n rows of highest score, ties by item ascending (bytes).
 
@@ -69,24 +107,18 @@ def top_n_per_group(scored: DataFrame, group: str, item: str, score: str, n: int
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    spark = scored.sparkSession
-    scored = scored.select(group, item, score).dropna()
-    table, path = written(scored.select(group, item, score), "scored")
-    files = max(1, math.ceil(table.count() / file_rows))
-    # Clustered by group, a hot group over several files in score order; the second write only sorts what the first counted.
-    ranged = table.repartitionByRange(files, F.col(group), F.col(score).desc(), F.col(item)).sortWithinPartitions(F.col(group), F.col(score).desc(), F.col(item))
-    sorted_table, sorted_path = written(ranged, "clustered", {"parquet.block.size": str(row_group_bytes)})
-    names = sorted(sorted_table.inputFiles())
-    if not names:
-        return table.limit(0).select(group, F.lit(1).alias("rank_no"), item, score)
-    paths = spark.createDataFrame([(p,) for p in names], "path string").repartition(len(names))
-
-    def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in b["path"]:
-                # Plain objects: strings of several row groups come in chunks, which a batch of rows cannot hold.
-                yield read_top(p, group, item, score, n)[0].astype({group: object, item: object})
-
-    best = paths.mapInPandas(best_of, sorted_table.select(group, item, score).schema)
+    small, paths = clustered(scored, group, item, score, n, file_rows, row_group_bytes)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema if f.name in (group, item, score))
+    best = small.select(group, item, score)
+    if paths is not None:
+        best = best.unionByName(_best_of_files(paths, [group, item, score], n, schema, False))
     w = W.partitionBy(group).orderBy(F.col(score).desc(), F.col(item))
     return best.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n).select(group, "rank_no", item, score)
+
+
+def row_groups_skipped(scored: DataFrame, group: str, item: str, score: str, n: int, file_rows: int = FILE_ROWS, row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
+    """(file, groups_read, groups_skipped): what `top_n_per_group` reads of each clustered file; no rows if no group has more than n items."""
+    _, paths = clustered(scored, group, item, score, n, file_rows, row_group_bytes)
+    if paths is None:
+        return scored.sparkSession.createDataFrame([], "file string, groups_read int, groups_skipped int")
+    return _best_of_files(paths, [group, item, score], n, "", True)

@@ -25,6 +25,21 @@ def test_top_n_against_sorting(spark):
         topn.top_n_per_group(df, "bin", "species", "votes", 0)
 
 
+def test_hot_groups_over_several_files_skip_row_groups(spark):
+    # Three groups of thousands of rows each and many small ones: most row groups of the large ones are never read.
+    rows = [("hot%d" % (k % 3), f"i{k:06d}", (k * 7919) % 100_003) for k in range(60_000)] + [(f"g{k % 500}", f"i{k:06d}", k % 11) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, i string, s int")
+    want = {}
+    for g, i, s in rows:
+        want.setdefault(g, []).append((-s, i))
+    expect = sorted((g, r, i, -s) for g, v in want.items() for r, (s, i) in enumerate(sorted(v)[:4], 1))
+    got = topn.top_n_per_group(df, "g", "i", "s", 4, file_rows=15_000, row_group_bytes=16 << 10)
+    assert sorted(map(tuple, got.collect())) == expect
+    counts = topn.row_groups_skipped(df, "g", "i", "s", 4, file_rows=15_000, row_group_bytes=16 << 10).collect()
+    assert len(counts) > 1 and sum(r.groups_skipped for r in counts) > sum(r.groups_read for r in counts) / 2 > 0
+    assert topn.row_groups_skipped(df.where("g = 'g1'"), "g", "i", "s", 100).count() == 0
+
+
 def test_row_groups_below_the_nth_score_are_skipped(tmp_path):
     path = str(tmp_path / "a.parquet")
     table = pa.table({"g": ["a"] * 1000 + ["b"] * 10, "i": [f"{k:04d}" for k in range(1010)], "s": list(range(1000, 0, -1)) + [5] * 10})
