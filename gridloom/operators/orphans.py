@@ -3,7 +3,7 @@
 Distinct non-null keys of the referring tables are anti-joined with the parents' keys (never there), and the rest
 are held against the parents' validity in time; the verdicts are joined back to the rows. A hot key costs no more
 than its distinct instants: both sides are reduced to (key, instant) before anything is sorted, and what is sorted
-per key is cut into months whose carried state is one value each.
+per key is cut into days whose carried state is one value each.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators.skew import salted_join
+from gridloom.storage import checkpointed, written
 
 #: A parent with no end is valid until this instant.
 FOREVER = "9999-12-31 00:00:00"
@@ -39,29 +40,29 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     "missing". Parents with a null key are ignored. Empty refs give no rows; empty parents make every reference missing.
     All times are timestamps.
     """
-    refs = refs.where(F.col("key").isNotNull()).select("ref_table", "ref_id", "key", "at")
+    # Written once: keys are normalised in one scan, and the join back reads what is left of the rows.
+    refs, _ = written(refs.where(F.col("key").isNotNull()).select("ref_table", "ref_id", "key", "at"), "references")
     parents = parents.where(F.col("key").isNotNull())
-    fks = refs.select("key", "at").distinct()
-    parent_keys = parents.select("key").distinct()
-    missing = fks.select("key").distinct().join(parent_keys, "key", "left_anti").withColumn("reason", F.lit("missing"))
-
-    # For the keys that have parents: at an instant t a key is held if and only if, among the parents that begin at or
-    # before t, the latest end lies after t. One state per (key, begin) suffices.
-    starts = parents.groupBy("key", F.coalesce("valid_from", F.lit("0001-01-01 00:00:00").cast("timestamp")).alias("t")).agg(F.max(F.coalesce("valid_to", F.lit(FOREVER).cast("timestamp"))).alias("until"))
-    asked = fks.where(F.col("at").isNotNull()).join(parent_keys, "key", "left_semi")
-    events = starts.select("key", "t", "until", F.lit(0).alias("ask")).unionByName(asked.select("key", F.col("at").alias("t"), F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("ask")))
-    events = events.withColumn("month", F.trunc("t", "month"))
-    months = events.groupBy("key", "month").agg(F.max("until").alias("until"))
-    carried = months.select("key", "month", F.max("until").over(W.partitionBy("key").orderBy("month").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
-    within = events.withColumn("own", F.max("until").over(W.partitionBy("key", "month").orderBy("t", "ask").rowsBetween(W.unboundedPreceding, 0)))
-    held = within.where(F.col("ask") == 1).join(carried, ["key", "month"]).withColumn("best", F.greatest("own", "before"))
+    begin, forever = F.lit("0001-01-01 00:00:00").cast("timestamp"), F.lit(FOREVER).cast("timestamp")
+    fks = checkpointed(refs.select("key", "at").distinct())
+    # One state per (key, begin): at an instant t a key is held if and only if, among the parents that begin at or before t,
+    # the latest end lies after t.
+    starts = checkpointed(parents.groupBy("key", F.coalesce("valid_from", begin).alias("t")).agg(F.max(F.coalesce("valid_to", forever)).alias("until")))
+    missing = fks.select("key").distinct().join(starts.select("key").distinct(), "key", "left_anti").withColumn("missing", F.lit(True))
+
+    asked = fks.where(F.col("at").isNotNull()).select("key", F.col("at").alias("t"), F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("ask"))
+    events = starts.select("key", "t", "until", F.lit(0).alias("ask")).unionByName(asked).withColumn("day", F.to_date("t"))
+    days = starts.groupBy("key", F.to_date("t").alias("day")).agg(F.max("until").alias("until")).unionByName(asked.select("key", F.to_date("t").alias("day"), "until").distinct())
+    carried = days.groupBy("key", "day").agg(F.max("until").alias("until")).select("key", "day", F.max("until").over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    within = events.withColumn("own", F.max("until").over(W.partitionBy("key", "day").orderBy("t", "ask").rowsBetween(W.unboundedPreceding, 0)))
+    held = within.where(F.col("ask") == 1).join(carried, ["key", "day"]).withColumn("best", F.greatest("own", "before"))
     dead = held.where(F.col("best").isNull() | (F.col("best") <= F.col("t"))).select("key", F.col("t").alias("at"), F.when(F.col("best").isNull(), "not_yet").otherwise("ended").alias("reason"))
 
-    verdicts = dead.unionByName(fks.join(missing, "key").select("key", "at", "reason"))
     # Null-safe on the instant: a reference without a time can be missing too.
-    never = F.lit("0001-01-01 00:00:00").cast("timestamp")
-    keyed = lambda d: d.withColumn("inst", F.coalesce("at", never))
-    return salted_join(keyed(refs), keyed(verdicts).drop("at"), ["key", "inst"]).select("ref_table", "ref_id", "at", "reason").distinct()
+    no_time = fks.where(F.col("at").isNull()).select("key", "at", F.lit(None).cast("string").alias("reason"))
+    verdicts = dead.unionByName(no_time).join(missing, "key", "left").select("key", F.coalesce("at", begin).alias("inst"), F.when(F.col("missing"), "missing").otherwise(F.col("reason")).alias("reason"))
+    verdicts = checkpointed(verdicts.where(F.col("reason").isNotNull()))
+    return salted_join(refs.withColumn("inst", F.coalesce("at", begin)), verdicts, ["key", "inst"]).select("ref_table", "ref_id", "at", "reason").distinct()
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
