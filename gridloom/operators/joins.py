@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.skew import maybe_broadcast
+from gridloom.operators.skew import maybe_broadcast, salted_join
 from gridloom.storage import checkpointed
 
 
@@ -73,8 +73,8 @@ def waterfall(df: DataFrame, rules: list[tuple[str, DataFrame, list[str], str]],
 def cohort_windows(cohorts: DataFrame, events: DataFrame, keys: list[str], start: str, at: str, windows: list[int]) -> DataFrame:
     """Pairs of a cohort and an event of the same key with 0 <= at - start <= w, once for every window w that holds it.
 
-    An equi-join on the key with the largest window as range condition; the windows are expanded after it."""
-    pairs = cohorts.join(events, keys).where((F.col(at) - F.col(start)).between(0, max(windows)))
+    An equi-join on the key, hot keys split, with the largest window as range condition; the windows are expanded after it."""
+    pairs = salted_join(cohorts, events, keys).where((F.col(at) - F.col(start)).between(0, max(windows)))
     wide = F.filter(F.array(*[F.lit(w) for w in sorted(windows)]), lambda w: F.col(at) - F.col(start) <= w)
     return pairs.withColumn("window", F.explode(wide))
 
@@ -113,7 +113,7 @@ def cooccurrence(df: DataFrame, unit: str, member: str) -> DataFrame:
     """(member, other, n): in how many units two different members meet, counted from both sides; repeated rows count once."""
     one = df.select(unit, member).dropna().distinct()
     other = one.withColumnRenamed(member, "other")
-    return one.join(other, unit).where(F.col(member) != F.col("other")).groupBy(member, "other").agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(one, other, [unit]).where(F.col(member) != F.col("other")).groupBy(member, "other").agg(F.count(F.lit(1)).alias("n"))
 
 
 def neighbour_vote(pairs: DataFrame, labels: DataFrame, member: str, top: int = 20, share: float = 0.5) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Latitude is cut into bands at least as high as the search distance. A histogram of the bands (bounded by their
 number, whatever the input) is turned into strips of about equal row counts: sparse bands are put together, a
-crowded one is split by a hash of its points. Each left point has one owning strip; right points are repeated into
-every strip they can reach. Within a strip both sides are sorted by latitude and swept: the active right points,
+crowded one is cut by longitude into overlapping pieces (only a place where a single degree is still crowded is split
+by a hash of its left points). Each left point has one owning strip; right points are repeated into every strip they
+can reach. Within a strip both sides are sorted by latitude and swept: the active right points,
 those within reach in latitude, are held in longitude order and probed by range; distances are then verified.
 A pair is found only in its left point's strip, so it comes out once.
 """
@@ -15,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
 STRIP_ROWS = 100_000
+#: Pieces of a crowded band, by degrees of longitude.
+SLOTS = 360
 
 
 def _haversine(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
@@ -77,32 +80,51 @@ def sweep(left_lat: np.ndarray, left_lon: np.ndarray, right_lat: np.ndarray, rig
             begin = end
 
 
-def _strips(left: DataFrame, height: float, strip_rows: int) -> list[tuple[int, int, int]]:
-    """(band, first strip, splits) for every band; bands are at most 180/height + 1, so is what reaches the driver."""
+def _strips(left: DataFrame, height: float, strip_rows: int) -> tuple[list[tuple[int, bool]], list[tuple[int, int, int, int]]]:
+    """(band, cut) for every band, and (band, slot, first strip, splits) for every band (slot -1) or slot of a cut band.
+
+    Bands are at most 180 / height + 1; a band is cut only if it holds more than strip_rows rows."""
     band = F.floor((F.col("_lat") + 90.0) / height).cast("int").alias("band")
-    counts = dict(left.groupBy(band).count().collect())
-    out, strip, filled = [], 0, 0
+    counts = {r.band: r.n for r in left.groupBy(band).agg(F.count(F.lit(1)).alias("n")).collect()}
+    crowded = [b for b, n in counts.items() if n > strip_rows]
+    by_slot: dict[int, dict[int, int]] = {b: {} for b in crowded}
+    if crowded:
+        held = F.broadcast(left.sparkSession.createDataFrame([(b,) for b in crowded], "band int"))
+        slots = left.select(band, _slot(F.col("_lon")).alias("slot")).join(held, "band").groupBy("band", "slot").agg(F.count(F.lit(1)).alias("n"))
+        for r in slots.collect():  # at most SLOTS rows for each crowded band
+            by_slot[r.band][r.slot] = r.n
+    cut, out, strip, filled = [], [], 0, 0
+
+    def place(b: int, slot: int, n: int) -> None:
+        nonlocal strip, filled
+        k = max(1, math.ceil(n / strip_rows))
+        if filled and filled + n > strip_rows:
+            strip, filled = strip + 1, 0
+        out.append((b, slot, strip, k))
+        filled += n
+        if k > 1:
+            strip, filled = strip + k, 0
+
     for b in range(math.floor(180 / height) + 1):
-        n = counts.get(b, 0)
-        if n > strip_rows:
-            if filled:
-                strip, filled = strip + 1, 0
-            k = math.ceil(n / strip_rows)
-            out.append((b, strip, k))
-            strip += k
+        cut.append((b, b in by_slot))
+        if b in by_slot:
+            for slot in range(SLOTS):
+                place(b, slot, by_slot[b].get(slot, 0))
         else:
-            if filled + n > strip_rows:
-                strip, filled = strip + 1, 0
-            out.append((b, strip, 1))
-            filled += n
-    return out
+            place(b, -1, counts.get(b, 0))
+    return cut, out
+
+
+def _slot(lon: Column) -> Column:
+    """The degree of longitude, 180 taken for -180."""
+    return F.pmod(F.floor(lon + 180.0).cast("int"), F.lit(SLOTS))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, keep: list[str] = (), lat: str = "lat", lon: str = "lon", strip_rows: int = STRIP_ROWS) -> DataFrame:
     """(left_id, right_id, keep..., km double): every pair within `km` kilometres on the mean sphere, however many.
 
     `keep`: further columns of `left`. Rows with a null or NaN coordinate, or one out of range, meet nothing. Null ids
-    are kept as ids. Repeated left or right rows give repeated pairs. An empty side gives no rows. Works across the date
+    are kept as ids. Repeated left rows give repeated pairs; repeated right rows count once. An empty side gives no rows. Works across the date
     line and at the poles; km up to a quarter of the circumference.
     """
     spark = left.sparkSession
@@ -113,11 +135,22 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
     rs = right.select(F.col(right_id), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).where(ok())
     height = max(0.05, math.degrees(km / EARTH_KM) * (1 + 1e-9))
     top = math.floor(180 / height)
-    strips = F.broadcast(spark.createDataFrame(_strips(ls, height, strip_rows), "_band int, _first int, _splits int"))  # at most 3,601 rows
+    bands, pieces = _strips(ls, height, strip_rows)
+    bands = F.broadcast(spark.createDataFrame(bands, "_band int, _cut boolean"))  # at most 3,601 rows
+    pieces = F.broadcast(spark.createDataFrame(pieces, "_band int, _slot int, _first int, _splits int"))  # and SLOTS for each crowded band
     band = F.floor((F.col("_lat") + 90.0) / height).cast("int")
-    ls = ls.withColumn("_band", band).join(strips, "_band").withColumn("_strip", F.col("_first") + F.pmod(F.xxhash64(F.col(left_id), "_lat", "_lon"), F.col("_splits")).cast("int")).drop("_band", "_first", "_splits")
+    ls = ls.withColumn("_band", band).join(bands, "_band").withColumn("_slot", F.when(F.col("_cut"), _slot(F.col("_lon"))).otherwise(-1)).join(pieces, ["_band", "_slot"])
+    ls = ls.withColumn("_strip", F.col("_first") + F.pmod(F.xxhash64(F.col(left_id), "_lat", "_lon"), F.col("_splits")).cast("int")).drop("_band", "_cut", "_slot", "_first", "_splits")
     reached = F.sequence(F.greatest(band - 1, F.lit(0)), F.least(band + 1, F.lit(top)))
-    rs = rs.withColumn("_band", F.explode(reached)).join(strips, "_band").withColumn("_strip", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_splits") - 1))).drop("_band", "_first", "_splits").distinct()
+    # Degrees of longitude within reach, seen from the farthest latitude a partner can have; near a pole all of them.
+    far = F.abs("_lat") + height
+    ratio = math.sin(min(km / EARTH_KM, math.pi / 2)) / F.cos(F.radians(far))
+    span = F.when((far >= 90) | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(ratio)) * (1 + 1e-9))
+    low, high = F.floor(F.col("_lon") + 180.0 - span).cast("int"), F.floor(F.col("_lon") + 180.0 + span).cast("int")
+    slots = F.when(F.col("_cut"), F.transform(F.sequence(low, F.least(high, low + SLOTS - 1)), lambda x: F.pmod(x, F.lit(SLOTS)))).otherwise(F.array(F.lit(-1)))
+    rs = rs.withColumn("_band", F.explode(reached)).join(bands, "_band").withColumn("_slot", F.explode(slots)).join(pieces, ["_band", "_slot"])
+    rs = rs.withColumn("_strip", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_splits") - 1)))
+    rs = rs.drop("_band", "_cut", "_slot", "_first", "_splits").distinct()
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ls.schema if f.name in (left_id, *keep)] + [f"`{right_id}` {rs.schema[right_id].dataType.simpleString()}", "km double"])
 
     def of_strip(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -77,6 +77,18 @@ def test_near_pairs_against_brute_force(spark):
     assert nearby.near_pairs(a, b.limit(0), "id", "sid", 5.0).count() == 0
 
 
+def test_near_pairs_of_a_crowded_band(spark):
+    # Half of both sides lies in one band of latitude, a part of it in one degree and across the date line.
+    rnd = random.Random(12)
+    spot = lambda k: (20.0 + rnd.uniform(0, 0.04), rnd.uniform(-180, 180) if k % 3 else rnd.choice([179.99, -179.99, 7.5]) + rnd.uniform(-0.01, 0.01)) if k % 2 else (rnd.uniform(-90, 90), rnd.uniform(-180, 180))
+    left, right = [(k, *spot(k // 2)) for k in range(1200)], [(k, *spot(k // 2)) for k in range(1200)]
+    a, b = spark.createDataFrame(left, "id long, lat double, lon double"), spark.createDataFrame(right, "sid long, lat double, lon double")
+    want = sorted((i, s) for i, la, lo in left for s, sa, so in right if _km(la, lo, sa, so) <= 5.0)
+    bands, pieces = nearby._strips(a.withColumnRenamed("lat", "_lat").withColumnRenamed("lon", "_lon"), 0.05, 60)
+    assert any(cut for _, cut in bands) and max(k for *_, k in pieces) > 1
+    assert sorted(map(tuple, nearby.near_pairs(a, b, "id", "sid", 5.0, strip_rows=60).select("id", "sid").collect())) == want
+
+
 def test_salted_join_equals_plain_join(spark):
     rnd = random.Random(9)
     a = spark.createDataFrame([(rnd.choice(["hot"] * 9 + list("abc") + [None]), i) for i in range(300)], "k string, i int")
