@@ -30,18 +30,19 @@ def chunk_count(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> int:
     return max(1, math.ceil(df.count() / chunk_rows))
 
 
-def key_profiles(df: DataFrame, keys: list[str], row_id: str, distinct_of: list[str] = (), chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+def key_profiles(df: DataFrame, keys: list[str], row_id: str, distinct_of: list[str] = (), chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, n_rows: int | None = None) -> DataFrame:
     """Per key: n_records (distinct non-null `row_id`) and, for each column c of `distinct_of`, n_<c> (distinct non-null c).
 
     Exact. A key column may be null (it is then a key of its own); a null row_id counts no record, but its other values
     count. Repeated rows count once. An empty input gives no rows. Columns not named are not read, whatever their names.
 
     A chunk is a hash range of the row id, so the records of different chunks are different and their counts add up;
-    a distinct value is carried as a state (key, column, value) and counted once its states are merged.
+    a distinct value is carried as a state (key, column, value) and counted once its states are merged. `n_rows`: about how
+    many rows `df` has, where that is known from files' footers; else they are counted.
     """
     df = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(row_id).alias("_id"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(distinct_of)])
     ks = [f"_k{i}" for i in range(len(keys))]
-    n_chunks = chunk_count(df, chunk_rows)
+    n_chunks = chunk_count(df, chunk_rows) if n_rows is None else max(1, math.ceil(n_rows / chunk_rows))
     chunk = F.pmod(F.xxhash64("_id"), F.lit(n_chunks)).cast("int").alias("chunk")
     records = df.groupBy(*ks, chunk, "_id").agg(F.lit(1).alias("n")) if not distinct_of else df.groupBy(*ks, chunk, "_id", *[f"_v{i}" for i in range(len(distinct_of))]).agg(F.lit(1).alias("n"))
     if not distinct_of:

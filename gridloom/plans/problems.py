@@ -59,11 +59,12 @@ def _keyed_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Every bin and land cell with its distinct records, species and years."""
-    return tree.key_profiles(_keyed_records(spark, sf), ["key_kind", "key_value"], "record_id", ["species", "year"])
+    n_rows = 2 * load(spark, sf, "bold_minimal_records").count()  # from the footers: two kinds of key a record
+    return tree.key_profiles(_keyed_records(spark, sf), ["key_kind", "key_value"], "record_id", ["species", "year"], n_rows=n_rows)
 
 
 def p6_found(spark: SparkSession, sf: str, share: float = 0.02) -> DataFrame:
-    profiles = tree.key_profiles(_keyed_records(spark, sf), ["key_kind", "key_value"], "record_id")
+    profiles = tree.key_profiles(_keyed_records(spark, sf), ["key_kind", "key_value"], "record_id", n_rows=2 * load(spark, sf, "bold_minimal_records").count())
     # A record has at most one key of a kind, so the records of a kind are the sum over its keys.
     total = profiles.groupBy("key_kind").agg(F.sum("n_records").alias("n_total"))
     return tree.heavy_keys(profiles, "key_kind", total, share).select("key_kind", "key_value")
