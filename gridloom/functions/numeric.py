@@ -53,3 +53,19 @@ def log1p_all(df: DataFrame, columns: list[str]) -> DataFrame:
     """any_<c> (0/1) and log1p_<c> for every listed column; null counts as 0."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return df.withColumns({f"any_{c}": (zero(c) > 0).cast("int") for c in columns} | {f"log1p_{c}": F.log1p(zero(c).cast("double")) for c in columns})
+
+
+#: How many of the second unit one of the first is.
+UNITS = {("m", "km"): 1e-3, ("m2", "km2"): 1e-6, ("ha", "km2"): 1e-2, ("percent", "share"): 1e-2}
+
+
+def scaled(c: Column, unit: str, to: str) -> Column:
+    """A measure in another unit."""
+    return c * F.lit(UNITS[unit, to]) if (unit, to) in UNITS else c / F.lit(UNITS[to, unit])
+
+
+def products(columns: dict[str, Column]) -> dict[str, Column]:
+    """Squares <name>_sq and products <a>_x_<b> of every pair, for interactions."""
+    names = list(columns)
+    out = {f"{n}_sq": columns[n] * columns[n] for n in names}
+    return out | {f"{a}_x_{b}": columns[a] * columns[b] for i, a in enumerate(names) for b in names[i + 1 :]}

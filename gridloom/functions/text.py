@@ -159,3 +159,9 @@ def scraped(html: Column, pattern: str, group: int = 1) -> Column:
 def split_rows(c: Column, sep: str) -> Column:
     """array<string>: trimmed non-empty parts, order kept (explode or posexplode it)."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def mapped(c: Column, table: dict[str, str], default: str | None = None) -> Column:
+    """A literal dictionary applied to a column; `default` for what it does not hold and for null."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, c), F.lit(default))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import log1p_all
 from gridloom.operators.skew import maybe_broadcast
+from gridloom.storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,8 @@ def cell_period_panel(records: DataFrame, land: DataFrame, variant: PanelVariant
     aggs = conditional_counts(counts)
     if item:
         aggs.append(F.countDistinct(F.nullif(F.trim(F.col(item)), F.lit(""))).alias(f"n_{item}"))
+    # Geocoding is done once: the measures and the first appearances read what it leaves.
+    inside = checkpointed(inside) if item else inside
     measures = inside.groupBy(*keys).agg(*aggs)
     names = [*counts, *[f"n_{item}"] * bool(item)]
     if item:

@@ -185,3 +185,87 @@ def protected_panel(shares: DataFrame, land: DataFrame, variant: panel.PanelVari
     added = shares.select("cell_id", F.coalesce("year", F.lit(variant.first_year)).alias("year"), "area_km2")
     out = window.step_stock(skel, added, "cell_id", "year", "area_km2", "cap")
     return out.select("cell_id", "year", F.col("stock").alias("protected_km2"), F.col("new").alias("new_km2"), (F.col("stock") / F.col("cap")).alias("protected_share"))
+
+
+def yearly_counts(records: DataFrame, year: str, by: list[str] = ()) -> DataFrame:
+    """(by..., year text, n): records by a year column as it is typed, blank years left out; blank `by` values are "Unknown"."""
+    typed = text.clean(F.col(year))
+    groups = [text.label_blank(text.clean(F.col(b)), "Unknown").alias(b) for b in by]
+    return records.where(typed != "").groupBy(*groups, typed.alias(year)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def baseline_richness(records: DataFrame, land: DataFrame, first_year: int, last_year: int, items: dict[str, str]) -> DataFrame:
+    """(cell_id, <name>, <name>_any, <name>_log1p, <name>_z ...): distinct non-blank items of a base period for every land cell.
+
+    `items`: output name -> column. Cells without records get 0; z is over all land cells, population sd."""
+    inside = records.where(F.col("year").between(first_year, last_year))
+    counts = inside.groupBy("cell_id").agg(*[F.countDistinct(F.nullif(text.clean(F.col(c)), F.lit(""))).alias(n) for n, c in items.items()])
+    out = land.select("cell_id").distinct().join(counts, "cell_id", "left").na.fill(0, list(items))
+    for n in items:
+        out = window.zscore(out.withColumns({f"{n}_any": (F.col(n) > 0).cast("int"), f"{n}_log1p": F.log1p(n)}), n, True, f"{n}_z")
+    return out
+
+
+def archive_universe(archives: dict[str, DataFrame]) -> DataFrame:
+    """(species, <tag>_records, <tag>_present ..., first_year, last_year) of archives {tag: (species, year)}; blank species are left out."""
+    rows = None
+    for tag, df in archives.items():
+        own = df.select("species", "year", F.lit(tag).alias("_tag")).where(F.coalesce(F.trim("species"), F.lit("")) != "")
+        rows = own if rows is None else rows.unionByName(own)
+    aggs = [a for tag in archives for a in (F.count_if(F.col("_tag") == tag).alias(f"{tag}_records"), F.max((F.col("_tag") == tag).cast("int")).alias(f"{tag}_present"))]
+    return rows.groupBy("species").agg(*aggs, F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+def stock_panel(units: DataFrame, flows: DataFrame, baseline: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """(cell_id, year, baseline, loss, loss_share, cumulative_loss, cumulative_share, l1_loss, l2_loss): a yearly loss against a baseline stock.
+
+    units: cell_id; flows: (cell_id, year, loss); baseline: (cell_id, baseline). Absent flows and baselines are 0; a share of no
+    baseline is 0; lags are the year before's, null at the start."""
+    skel = panel.skeleton(units, panel.PanelVariant(first_year=first_year, last_year=last_year))
+    out = panel.zero_fill(skel, flows.groupBy("cell_id", "year").agg(F.sum("loss").alias("loss")), ["cell_id", "year"], ["loss"])
+    out = out.join(baseline.select("cell_id", "baseline"), "cell_id", "left").na.fill(0, ["baseline"])
+    share = lambda c: numeric.safe_ratio(F.col(c), F.col("baseline"))
+    out = out.withColumn("loss_share", share("loss")).withColumn("cumulative_loss", window.cumulative(["cell_id"], "year", F.col("loss"))).withColumn("cumulative_share", share("cumulative_loss"))
+    return out.withColumns({f"l{k}_loss": window.positional_lag(["cell_id"], "year", F.col("loss"), k) for k in (1, 2)})
+
+
+def foreign_collecting(records: DataFrame, homes: DataFrame, regions: DataFrame) -> DataFrame:
+    """By (cell_id, year): how records were collected, by collectors from the country itself, its region, or elsewhere.
+
+    records: (record_id, cell_id, year, country, collectors); homes: (person, home), one row a person; regions: (country,
+    region). A record is as distant as its most distant known collector; scores share it among its known collectors; it is
+    a collaboration if collectors of the country and others meet. Distinct collectors are counted by kind."""
+    own = records.select("record_id", "cell_id", "year", "country", text.person_tokens(F.col("collectors")).alias("_people"))
+    people = own.select("record_id", "cell_id", "year", "country", F.explode(F.array_distinct("_people")).alias("person"))
+    known = joins.lookup(people, homes, ["person"], {"home": F.lit(None).cast("string")}).where(F.col("home").isNotNull() & (F.col("country") != ""))
+    region = regions.select(F.col("country").alias("_c"), F.col("region").alias("_r"))
+    known = known.join(region.withColumnsRenamed({"_c": "country", "_r": "region"}), "country", "left").join(region.withColumnsRenamed({"_c": "home", "_r": "home_region"}), "home", "left")
+    kind = F.when(F.col("home") == F.col("country"), "domestic").when(F.col("home_region") == F.col("region"), "regional").otherwise("distant")
+    known = known.withColumn("kind", kind)
+    share = lambda k: (F.count_if(F.col("kind") == k) / F.count(F.lit(1))).alias(f"{k}_score")
+    has = lambda k: F.bool_or(F.col("kind") == k)
+    each = known.groupBy("record_id", "cell_id", "year").agg(share("domestic"), share("regional"), share("distant"), F.when(has("distant"), "distant").when(has("regional"), "regional").otherwise("domestic").alias("class"), (has("domestic") & F.bool_or(F.col("kind") != "domestic")).alias("collab"))
+    total = own.groupBy("cell_id", "year").agg(F.count(F.lit(1)).alias("records_total"), F.count_if(F.size("_people") > 0).alias("records_with_collectors"))
+    classes = each.groupBy("cell_id", "year").agg(
+        F.count(F.lit(1)).alias("records_classified"), *[F.count_if(F.col("class") == k).alias(f"records_{k}") for k in ("domestic", "regional", "distant")], F.count_if("collab").alias("records_collab"), *[F.round(F.sum(f"{k}_score"), 4).alias(f"{k}_score_sum") for k in ("domestic", "regional", "distant")]
+    )
+    names = known.groupBy("cell_id", "year").agg(*[F.countDistinct(F.when(c, F.col("person"))).alias(n) for n, c in (("n_collectors_domestic", F.col("kind") == "domestic"), ("n_collectors_foreign", F.col("kind") != "domestic"))])
+    out = total.join(classes, ["cell_id", "year"], "left").join(names, ["cell_id", "year"], "left").na.fill(0)
+    return out.withColumn("records_unclassified", F.col("records_with_collectors") - F.col("records_classified"))
+
+
+def linked_potential(records: DataFrame, pairs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """By (cell_id, year): species with linked items, found by name first, then by resolved name, then by bin consensus.
+
+    records: (cell_id, year, species, bin_species, kingdom), species as keys; pairs: (species, item, source), the links;
+    resolved: (species, resolved). n_species, n_linked, n_items (distinct items of the linked species), n_linked by rule."""
+    linked = pairs.select("species").distinct()
+    flag = linked.withColumn("hit", F.col("species"))
+    step = resolved.join(linked.withColumnRenamed("species", "resolved"), "resolved").groupBy("species").agg(F.min("resolved").alias("to"))
+    rows = records.withColumn("species", F.when(F.col("species") != "", F.col("species")).otherwise(F.coalesce("bin_species", F.lit("")))).where("species <> ''")
+    names = rows.select("species").distinct()
+    found = joins.waterfall(names, [("name", flag, ["species"], "hit"), ("resolved", step, ["species"], "to")], "target", "rule")
+    keyed = rows.select("cell_id", "year", "species").distinct().join(found, "species")
+    counts = keyed.groupBy("cell_id", "year").agg(F.countDistinct("species").alias("n_species"), F.countDistinct("target").alias("n_linked"), *[F.countDistinct(F.when(F.col("rule") == r, F.col("target"))).alias(f"n_by_{r}") for r in ("name", "resolved")])
+    items = keyed.where("target is not null").select("cell_id", "year", F.col("target").alias("species")).distinct().join(pairs.select("species", "item").distinct(), "species").groupBy("cell_id", "year").agg(F.countDistinct("item").alias("n_items"))
+    return counts.join(items, ["cell_id", "year"], "left").na.fill(0, ["n_items"])

@@ -22,16 +22,25 @@ def _land(spark, sf):
     return T(spark, sf, "bold_grid100_land_cells").select("cell_id").distinct()
 
 
+#: Outcome columns of the panel: conditions in SQL, read by both engines.
+OUTCOMES = {
+    "total_records": "true", "animalia_records": "kingdom = 'Animalia'", "plantae_records": "kingdom = 'Plantae'", "fungi_records": "kingdom = 'Fungi'", "bacteria_records": "kingdom = 'Bacteria'", "plantae_fungi_records": "kingdom in ('Plantae', 'Fungi')",
+    "non_chordata_animalia_records": "kingdom = 'Animalia' and phylum <> 'Chordata'", "arthropoda_records": "phylum = 'Arthropoda'", "insecta_records": "class_name = 'Insecta'", "chordata_records": "phylum = 'Chordata'",
+}
+_NAMES = [*OUTCOMES, "n_bin", "n_new_bin"]
+
+
 def _counts():
-    k = F.col("kingdom")
-    return {"total_records": F.lit(True), "animalia_records": k == "Animalia", "plantae_records": k == "Plantae", "insecta_records": F.col("phylum") == "Arthropoda"}
+    k, p = F.col("kingdom"), F.col("phylum")
+    conditions = [F.lit(True), k == "Animalia", k == "Plantae", k == "Fungi", k == "Bacteria", k.isin("Plantae", "Fungi"), (k == "Animalia") & (p != "Chordata"), p == "Arthropoda", F.col("class_name") == "Insecta", p == "Chordata"]
+    return dict(zip(OUTCOMES, conditions))
 
 
 @book.query("c_08_cell_year_panel", f"""with {LOCATED}, l as (select * from located where year between 2010 and 2024), first as (select bin, min(year) as year from l where bin <> '' group by 1),
-  m as (select cell_id, year, count(*) as total_records, count(*) filter (kingdom = 'Animalia') as animalia_records, count(*) filter (kingdom = 'Plantae') as plantae_records, count(*) filter (phylum = 'Arthropoda') as insecta_records, count(distinct nullif(bin, '')) as n_bin from l group by all),
+  m as (select cell_id, year, {', '.join(f'count(*) filter ({c}) as {n}' for n, c in OUTCOMES.items())}, count(distinct nullif(bin, '')) as n_bin from l group by all),
   f as (select l.cell_id, l.year, count(distinct l.bin) as n_new_bin from l join first on l.bin = first.bin and l.year = first.year group by all),
-  z as (select c.cell_id, y.year, {', '.join(f'coalesce({n}, 0) as {n}' for n in ('total_records', 'animalia_records', 'plantae_records', 'insecta_records', 'n_bin', 'n_new_bin'))} from {_CELLS} cross join {_YEARS} left join m on m.cell_id = c.cell_id and m.year = y.year left join f on f.cell_id = c.cell_id and f.year = y.year)
-  select *, {', '.join(f'cast({n} > 0 as int) as any_{n}, ln(1 + {n}) as log1p_{n}' for n in ('total_records', 'animalia_records', 'plantae_records', 'insecta_records', 'n_bin', 'n_new_bin'))} from z""")
+  z as (select c.cell_id, y.year, {', '.join(f'coalesce({n}, 0) as {n}' for n in _NAMES)} from {_CELLS} cross join {_YEARS} left join m on m.cell_id = c.cell_id and m.year = y.year left join f on f.cell_id = c.cell_id and f.year = y.year)
+  select *, {', '.join(f'cast({n} > 0 as int) as any_{n}, ln(1 + {n}) as log1p_{n}' for n in _NAMES)} from z""")
 def c_08(spark, sf):
     return panel.cell_period_panel(located(spark, sf), _land(spark, sf), VARIANT, _counts(), "bin")
 
