@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +31,52 @@ def _report(df: DataFrame) -> list:
     return rows
 
 
+def preamble_text(df: DataFrame, metadata: dict[str, str]) -> str:
+    """A small table as CSV text with "# key,value" lines before its header."""
+    lines = [*(f"# {k},{v}" for k, v in metadata.items()), ",".join(df.columns), *(",".join("" if v is None else str(v) for v in r) for r in _report(df))]
+    return "\n".join(lines) + "\n"
+
+
 def csv_with_preamble(df: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """A small CSV with "# key,value" lines before its header."""
-    rows = _report(df)
+    """A small CSV with "# key,value" lines before its header, as one file of the driver's."""
     with open(path, "w", encoding="utf-8") as f:
-        f.writelines(f"# {k},{v}\n" for k, v in metadata.items())
-        f.write(",".join(df.columns) + "\n")
-        f.writelines(",".join("" if v is None else str(v) for v in r) + "\n" for r in rows)
+        f.write(preamble_text(df, metadata))
+
+
+def write_stata(df: DataFrame, path: str) -> None:
+    """Stata files (version 118), one a partition, written where the rows lie; a task that is repeated replaces its own file."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        rows = list(batches)
+        whole = pd.concat(rows) if rows else pd.DataFrame()
+        if len(whole):
+            raw = io.BytesIO()
+            whole.to_stata(raw, write_index=False, version=118)
+            fs, where = pafs.FileSystem.from_uri(path)
+            fs.create_dir(where, recursive=True)
+            with fs.open_output_stream(f"{where}/part-{TaskContext.get().partitionId():05d}.dta") as f:
+                f.write(raw.getvalue())
+        yield pd.DataFrame({"n": [len(whole)]})
+
+    df.mapInPandas(part, "n long").agg(F.sum("n")).collect()
+
+
+def mirror(spark, path: str, target: str) -> None:
+    """An artefact copied as it is to where it is published, between any two file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf):
+        raise OSError(f"could not copy {path} to {target}")
+
+
+def cached_table(spark, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table read from `path` where a former run finished writing it, else built and written there."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def latex_table(df: DataFrame, caption: str) -> str:
