@@ -7,10 +7,12 @@ per-cluster score products, whose size is the number of regressors, reach the dr
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.storage import checkpointed
@@ -29,7 +31,7 @@ class Fit:
 
     def table(self, spark) -> DataFrame:
         """(term, estimate, se, t) as a DataFrame."""
-        se = np.sqrt(np.diag(self.cov))
+        se = np.sqrt(np.maximum(0.0, np.diag(self.cov)))
         return spark.createDataFrame([(t, float(b), float(s), float(b / s) if s > 0 else None) for t, b, s in zip(self.names, self.beta, se)], "term string, estimate double, se double, t double")
 
     def lincom(self, weights: dict[str, float]) -> tuple[float, float]:
@@ -44,31 +46,33 @@ class Fit:
         return float(b @ np.linalg.pinv(v) @ b) / len(i), len(i)
 
 
-def drop_singletons(df: DataFrame, absorb: list[str], rounds: int = 10) -> DataFrame:
-    """Without the rows that are alone in a level of an absorbed effect, repeated until there are none."""
-    for _ in range(rounds):
-        before = df.count()
+def drop_singletons(df: DataFrame, absorb: list[str]) -> DataFrame:
+    """Without the rows that are alone in a level of an absorbed effect, repeated until there are none (each round drops a row)."""
+    n = df.count()
+    while True:
         for fe in absorb:
             df = df.join(df.groupBy(fe).count().where("count > 1").select(fe), fe, "left_semi")
         df = checkpointed(df)
-        if df.count() == before:
-            break
-    return df
+        before, n = n, df.count()
+        if n == before:
+            return df
 
 
 def demeaned(df: DataFrame, columns: list[str], absorb: list[str], tolerance: float = 1e-8, rounds: int = 500) -> DataFrame:
-    """The columns with the absorbed effects partialled out by alternating projections, until no mean exceeds the tolerance."""
-    for k in range(rounds):
+    """The columns with the absorbed effects partialled out by alternating projections, until no mean of any effect exceeds
+    the tolerance. An error if that takes more than `rounds` rounds."""
+    for _ in range(rounds):
         for fe in absorb:
             means = df.groupBy(fe).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
             df = df.join(means, fe).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
         df = checkpointed(df)
         if len(absorb) < 2:
-            break
-        worst = df.groupBy(absorb[0]).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(F.max(F.greatest(F.lit(0.0), *[F.col(c) for c in columns]))).first()[0] or 0.0
+            return df
+        # The last effect's means are 0 by construction; all others are looked at.
+        worst = max(df.groupBy(fe).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(F.max(F.greatest(F.lit(0.0), *[F.col(c) for c in columns]))).first()[0] or 0.0 for fe in absorb[:-1])
         if worst < tolerance:
-            break
-    return df
+            return df
+    raise ArithmeticError(f"effects {absorb} did not converge in {rounds} rounds")
 
 
 def ols(df: DataFrame, y: str, x: list[str], absorb: list[str] = (), cluster: str | None = None) -> Fit:
@@ -139,6 +143,8 @@ def imputation(df: DataFrame, y: str, unit: str, time: str, first: str, horizons
         a, b = new_a, new_b
         if move < 1e-9:
             break
+    else:
+        raise ArithmeticError("the untreated effects did not converge in 200 rounds")
     treated = data.where(F.col(first).isNotNull() & (F.col(time) >= F.col(first))).withColumn("horizon", F.col(time) - F.col(first)).where(F.col("horizon").isin(*horizons))
     effect = treated.join(a, unit).join(b, time).withColumn("_e", F.col(y) - F.col("_a") - F.col("_b"))
     return effect.groupBy("horizon").agg(F.avg("_e").alias("estimate"), F.count(F.lit(1)).alias("n"))
@@ -161,3 +167,53 @@ def group_time_att(df: DataFrame, y: str, unit: str, time: str, first: str) -> D
 def average_effects(fit: Fit, spans: dict[str, list[str]]) -> list[tuple[str, float, float]]:
     """(name, estimate, se) of averages of coefficients, e.g. over the first 3, 5 or 9 periods after onset."""
     return [(name, *fit.lincom({t: 1 / len(terms) for t in terms})) for name, terms in spans.items() if terms]
+
+
+def interacted(df: DataFrame, x: str, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """`df` with the products x_x_<b> of a regressor with continuous moderators, and their names."""
+    names = {f"{x}_x_{b}": F.col(x).cast("double") * F.col(b) for b in by}
+    return df.withColumns(names), list(names)
+
+
+def distributed_lags(df: DataFrame, x: str, unit: list[str], time: str, leads: int = 5, lags: int = 5) -> tuple[DataFrame, list[str]]:
+    """`df` with gap-aware leads f<k>_x and lags l<k>_x of a continuous treatment, and all terms' names in time order."""
+    from gridloom.operators.window import time_lag
+
+    cols = {f"f{k}_{x}": time_lag(unit, time, F.col(x), -k) for k in range(leads, 0, -1)} | {f"l{k}_{x}": time_lag(unit, time, F.col(x), k) for k in range(1, lags + 1)}
+    names = [c for c in cols if c[0] == "f"] + [x] + [c for c in cols if c[0] == "l"]
+    return df.withColumns(cols), names
+
+
+def specifications(df: DataFrame, specs: dict[str, dict]) -> DataFrame:
+    """(spec, term, estimate, se, n): a family of regressions from a table of settings: {name: {y, x, absorb, cluster, where}}.
+
+    One fit after another on the same (written) rows; `where` restricts the sample (an SQL condition)."""
+    spark, out = df.sparkSession, []
+    for name, s in specs.items():
+        fit = ols(df.where(s["where"]) if s.get("where") else df, s["y"], s["x"], s.get("absorb", ()), s.get("cluster"))
+        se = np.sqrt(np.maximum(0.0, np.diag(fit.cov)))
+        out += [(name, t, float(b), float(e), fit.n) for t, b, e in zip(fit.names, fit.beta, se)]
+    return spark.createDataFrame(out, "spec string, term string, estimate double, se double, n long")
+
+
+def on_event_axis(names: list[str]) -> list[int | None]:
+    """Event times of coefficients named by different estimators: lead6, tau8, L2.x, F3.x, pre2, horizon4, t_m6, t_p8; None for others."""
+    forms = ((r"lead(\d+)|pre(\d+)|[Ff](\d+)[._].*|t_m(\d+)", -1), (r"tau(\d+)|horizon(\d+)|[Ll](\d+)[._].*|t_p(\d+)", 1))
+    out: list[int | None] = []
+    for n in names:
+        hit = next(((sign, m) for pattern, sign in forms if (m := re.fullmatch(pattern, n))), None)
+        out.append(hit[0] * int(next(g for g in hit[1].groups() if g)) if hit else None)
+    return out
+
+
+def switchers_did(df: DataFrame, y: str, unit: str, time: str, treated: str) -> DataFrame:
+    """(time, did, n_switchers): the change of y of the units whose treatment begins at a time, less that of the units untreated before and then.
+
+    Robust to effects that differ between units and times: only units that stay untreated serve as controls. Times without
+    switchers or without such controls are left out. One row per (unit, time)."""
+    w = W.partitionBy(unit).orderBy(time)
+    rows = df.select(unit, time, F.col(y).cast("double").alias("_y"), F.col(treated).cast("int").alias("_d"))
+    step = rows.withColumns({"_dy": F.col("_y") - F.lag("_y").over(w), "_before": F.lag("_d").over(w), "_gap": F.col(time) - F.lag(time).over(w)}).where("_gap = 1 and _before = 0 and _dy is not null")
+    new, stay = F.col("_d") == 1, F.col("_d") == 0
+    out = step.groupBy(time).agg((F.avg(F.when(new, F.col("_dy"))) - F.avg(F.when(stay, F.col("_dy")))).alias("did"), F.count_if(new).alias("n_switchers"))
+    return out.where("did is not null")
