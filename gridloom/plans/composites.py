@@ -114,20 +114,26 @@ def species_compounds(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, summary
 
 
-def resolve_names(names: DataFrame, taxa: DataFrame, max_hops: int = 10) -> DataFrame:
+def resolve_names(names: DataFrame, taxa: DataFrame, max_hops: int = 10, fetched: DataFrame | None = None) -> DataFrame:
     """(name, resolved_name, taxon_id, method, kingdom): names (name, kingdom_hint) against a backbone (taxonid, canonicalname,
     acceptednameusageid, kingdom, taxonrank), synonyms led to their accepted names. Exact names first; a homonym is decided by the
-    hint; a genus tells at least the kingdom. Every input name comes out once."""
+    hint; then what a matching service once answered (`fetched`: name, taxonid, the cache of a run that asked it); a genus
+    tells at least the kingdom. Every input name comes out once."""
     own = names.select("name", F.coalesce("kingdom_hint", F.lit("")).alias("kingdom_hint")).groupBy("name").agg(F.max("kingdom_hint").alias("kingdom_hint")).withColumn("key", text.key_form(F.col("name")))
     listed = taxa.where(F.trim("canonicalname") != "").select("taxonid", "canonicalname", text.key_form(F.col("canonicalname")).alias("key"), "kingdom")
     hits = own.join(listed, "key").select("name", "taxonid", "kingdom", "kingdom_hint")
     picked = joins.unique_target(hits, "name", "taxonid", "kingdom", "kingdom_hint").where("taxonid is not null")
+    picked = picked.withColumn("method", F.lit("exact"))
+    if fetched is not None:
+        asked = fetched.groupBy("name").agg(F.min("taxonid").alias("taxonid"))
+        rest = own.select("name").join(picked.select("name"), "name", "left_anti")
+        picked = picked.unionByName(rest.join(asked, "name").withColumn("method", F.lit("fetched")))
     roots = joins.resolve_pointers(taxa, "taxonid", "acceptednameusageid", max_hops)
     accepted = taxa.select(F.col("taxonid").alias("root"), F.col("canonicalname").alias("resolved_name"), "kingdom")
-    done = picked.join(roots, "taxonid").join(accepted, "root", "left").select("name", "resolved_name", F.col("root").alias("taxon_id"), "kingdom")
+    done = picked.join(roots, "taxonid").join(accepted, "root", "left").select("name", "resolved_name", F.col("root").alias("taxon_id"), "kingdom", "method")
     genus = taxa.where("taxonrank = 'genus' and trim(canonicalname) <> ''").groupBy(F.lower("canonicalname").alias("g")).agg(F.min("kingdom").alias("genus_kingdom"))
     out = own.join(done, "name", "left").join(genus, F.lower(text.genus_of(F.col("name"))) == F.col("g"), "left")
-    method = F.when(F.col("taxon_id").isNotNull(), "exact").otherwise("unresolved")
+    method = F.when(F.col("taxon_id").isNotNull(), F.col("method")).otherwise("unresolved")
     return out.select("name", F.coalesce("resolved_name", F.lit("")).alias("resolved_name"), "taxon_id", method.alias("method"), F.coalesce(F.col("kingdom"), F.col("genus_kingdom"), F.nullif(F.col("kingdom_hint"), F.lit(""))).alias("kingdom"))
 
 
@@ -269,3 +275,8 @@ def linked_potential(records: DataFrame, pairs: DataFrame, resolved: DataFrame)
     counts = keyed.groupBy("cell_id", "year").agg(F.countDistinct("species").alias("n_species"), F.countDistinct("target").alias("n_linked"), *[F.countDistinct(F.when(F.col("rule") == r, F.col("target"))).alias(f"n_by_{r}") for r in ("name", "resolved")])
     items = keyed.where("target is not null").select("cell_id", "year", F.col("target").alias("species")).distinct().join(pairs.select("species", "item").distinct(), "species").groupBy("cell_id", "year").agg(F.countDistinct("item").alias("n_items"))
     return counts.join(items, ["cell_id", "year"], "left").na.fill(0, ["n_items"])
+
+
+def resolution_report(resolved: DataFrame) -> DataFrame:
+    """(method, n, with_kingdom): how many names each rung of `resolve_names` settled, and for how many a kingdom is known."""
+    return resolved.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kingdom").isNotNull()).alias("with_kingdom"))

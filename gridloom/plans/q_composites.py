@@ -199,6 +199,25 @@ def c_15(spark, sf):
     return comp.resolve_names(names, T(spark, sf, "taxon")).drop("kingdom")
 
 
+#: Names whose first two words are a canonical name stand for what a matching service answered.
+_ASKED = """k as (select lower(canonicalname) as key, min(taxonid) as taxonid from taxon where trim(canonicalname) <> '' group by 1), w as (select distinct species_normalized as name, array_to_string(string_split(species_normalized, ' ')[1:2], ' ') as two from species_name_resolution where trim(species_normalized) <> ''),
+  f as (select w.name, k.taxonid from w join k on k.key = w.two)"""
+
+
+@book.query("c_15_report", f"""with recursive t0 as (select taxonid, case when acceptednameusageid <> taxonid then acceptednameusageid end as p from taxon), ch as (select taxonid, taxonid as at_, p, 0 as hops from t0 union all select ch.taxonid, t0.taxonid, t0.p, ch.hops + 1 from ch join t0 on t0.taxonid = ch.p where ch.hops < 10), {_ASKED},
+  n as (select species_normalized as name, max(coalesce(kingdom_hint, '')) as hint from species_name_resolution where trim(species_normalized) <> '' group by 1), x as (select distinct taxonid, lower(canonicalname) as key, kingdom from taxon where trim(canonicalname) <> ''),
+  h as (select name, count(distinct taxonid) as c, min(taxonid) as t, count(distinct case when kingdom = hint then taxonid end) as c2, min(case when kingdom = hint then taxonid end) as t2 from n join x on x.key = n.name group by 1), e as (select name, case when c = 1 then t when c2 = 1 then t2 end as taxonid from h),
+  p as (select name, taxonid, 'exact' as method from e where taxonid is not null union all select name, taxonid, 'fetched' from f where name not in (select name from e where taxonid is not null)), r as (select p.name, p.method, ch.at_ as root from p join ch on ch.taxonid = p.taxonid and ch.p is null),
+  g as (select lower(canonicalname) as g, min(kingdom) as k from taxon where taxonrank = 'genus' and trim(canonicalname) <> '' group by 1)
+  select coalesce(r.method, 'unresolved') as method, count(*) as n, count(coalesce(t.kingdom, g.k, nullif(n.hint, ''))) as with_kingdom from n left join r using (name) left join taxon t on t.taxonid = r.root left join g on g.g = string_split(n.name, ' ')[1] group by 1""")
+def c_15_report(spark, sf):
+    names = T(spark, sf, "species_name_resolution").where("trim(species_normalized) <> ''").select(F.col("species_normalized").alias("name"), "kingdom_hint")
+    taxa = T(spark, sf, "taxon")
+    known = taxa.where("trim(canonicalname) <> ''").groupBy(F.lower("canonicalname").alias("two")).agg(F.min("taxonid").alias("taxonid"))
+    fetched = names.select("name", F.array_join(F.slice(F.split("name", " "), 1, 2), " ").alias("two")).distinct().join(known, "two").select("name", "taxonid")
+    return comp.resolution_report(comp.resolve_names(names, taxa, fetched=fetched))
+
+
 @book.query("c_16_species_universe", f"""with {LOCATED}, r as (select l.*, nullif(species, '') as own, lower(b.consensus_species) as c from located l left join (select distinct bin_uri, consensus_species from bin_consensus_lookup) b on b.bin_uri = l.bin)
   select coalesce(own, nullif(c, '')) as species, count(*) as n_records, count(distinct cell_id) as n_cells, min(year) as first_year, max(year) as last_year, count(*) filter (own is null) as from_bin from r where coalesce(own, nullif(c, '')) is not null group by 1""")
 def c_16(spark, sf):
@@ -237,6 +256,39 @@ def c_36(spark, sf):
     return out.select("cell_id", "year", "iso_a3", "n", "stations", F.round(safe_ratio(F.col("n"), F.col("stations")), 6).alias("per_station"))
 
 
+_KINGDOMS = ("Animalia", "Plantae", "Fungi", "Bacteria", "Protista")
+_GROUPS = ("animalia_insects", "plants", "bold_root", "chordata", "fungi", "arthropods_other")
+_CELL_TABLES = {"dataset_rows": "gbif_dataset_cells", "accession_rows": "bold_acc_cells"}
+_WIDE = {f"{k.lower()}_{m}": f"{e} filter (kingdom = '{k}')" for k in _KINGDOMS for m, e in (("n", "count(*)"), ("species", "count(distinct nullif(species, ''))"), ("bins", "count(distinct nullif(bin, ''))"))} | {f"from_{g}": f"count(*) filter (source_group = '{g}')" for g in _GROUPS} | {"institutions": "count(distinct nullif(inst, ''))", "genera": "count(distinct nullif(genus, ''))"}
+
+
+@book.query("c_36_all_parts", f"""with {LOCATED}, w as (select cell_id, year, {', '.join(f'{e} as {n}' for n, e in _WIDE.items())} from located group by all), {', '.join(f"{n} as (select cell_id, year(first_seen_at)::int as year, count(distinct row_id) as {n} from {t} group by all)" for n, t in _CELL_TABLES.items())},
+  s as (select cell_id, count(*) as stations from (select {CELL_SQL} as cell_id from (select longitude as lon, latitude as lat from sampling_stations)) group by 1)
+  select c.cell_id, y.year, c.continent, c.country, {', '.join(f'coalesce(w.{n}, 0) as {n}' for n in _WIDE)}, {', '.join(f'coalesce({n}.{n}, 0) as {n}' for n in _CELL_TABLES)}, coalesce(stations, 0) as stations from bold_grid100_land_cells c cross join {_YEARS}
+  left join w on w.cell_id = c.cell_id and w.year = y.year {' '.join(f'left join {n} on {n}.cell_id = c.cell_id and {n}.year = y.year' for n in _CELL_TABLES)} left join s on s.cell_id = c.cell_id""")
+def c_36_all(spark, sf):
+    """Twenty-seven parts of their own, as they come from other pipelines, merged onto the cells and years."""
+    from gridloom.storage import checkpointed
+
+    land = T(spark, sf, "bold_grid100_land_cells").select("cell_id", "continent", "country")
+    rows = checkpointed(located(spark, sf).select("cell_id", "year", "kingdom", "source_group", "species", "bin", "inst", "genus").where("year is not null"))
+    keys = ["cell_id", "year"]
+    some = lambda c: F.countDistinct(F.nullif(F.col(c), F.lit("")))
+    parts = []
+    for k in _KINGDOMS:
+        own = rows.where(F.col("kingdom") == k)
+        parts += [(own.groupBy(*keys).agg(m.alias(f"{k.lower()}_{n}")), keys) for n, m in (("n", F.count(F.lit(1))), ("species", some("species")), ("bins", some("bin")))]
+    parts += [(rows.where(F.col("source_group") == g).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"from_{g}")), keys) for g in _GROUPS]
+    parts += [(rows.groupBy(*keys).agg(some(c).alias(n)), keys) for n, c in (("institutions", "inst"), ("genera", "genus"))]
+    parts += [(T(spark, sf, t).groupBy("cell_id", F.year("first_seen_at").alias("year")).agg(F.countDistinct("row_id").alias(n)), keys) for n, t in _CELL_TABLES.items()]
+    parts += [(land, ["cell_id"]), (c_04(spark, sf).withColumnRenamed("n", "stations"), ["cell_id"])]
+    # Cut into written thirds: 27 joins in one plan are the driver's burden, not the executors'.
+    out = panel.skeleton(land.select("cell_id"), VARIANT)
+    for k in range(0, len(parts), 9):
+        out = checkpointed(comp.merge_all(out, parts[k : k + 9]))
+    return out.na.fill(0, [*_WIDE, *_CELL_TABLES, "stations"])
+
+
 @book.query("e_01_fixed_effects", """with d as (select l_suppkey as u, l_extendedprice - avg(l_extendedprice) over (partition by l_suppkey) as y, l_quantity - avg(l_quantity) over (partition by l_suppkey) as x from lineitem), b as (select sum(x * y) / sum(x * x) as beta from d) select 'l_quantity' as term, round(beta, 4) as estimate, (select count(*) from d) as n from b""")
 def e_01(spark, sf):
     fit = estimate.ols(T(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], ["l_suppkey"], "l_suppkey")

@@ -6,6 +6,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import TaskContext
@@ -136,8 +137,10 @@ def sha256_of(path: str) -> str:
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The existing rows and those new ones whose key is not there; of new rows with one key one is kept."""
-    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"))
+    """The existing rows and those new ones whose key is not there; of new rows with one key one is kept. Null keys equal each other."""
+    there = existing.select(*[F.col(k).alias(f"_there_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_there_{k}")) for k in keys])
+    return existing.unionByName(new.dropDuplicates(keys).join(there, same, "left_anti"))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
