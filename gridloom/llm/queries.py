@@ -104,21 +104,22 @@ def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, how in (("targets", {}), ("budget", {"budget": BUDGET}), ("entropy", {"target_entropy": ENTROPY})):
         selection, shares = _mix(spark, sf, **how)
-        per_copy = selection.groupBy("source", "copy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d"), F.sum("n_tokens").alias("t"))
+        per_copy = selection.groupBy("source", "copy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("longest"))
         drawn = per_copy.groupBy("source").agg(F.sum("t").alias("t"), F.max("copy").alias("copies"), F.min((F.col("n") == F.col("d")).cast("int")).alias("once"))
-        every = drawn.agg(F.sum("t").alias("every"))
+        every = per_copy.agg(F.sum("t").alias("every"), F.max("longest").alias("longest"))
         rows = shares.join(drawn, "source", "left").crossJoin(F.broadcast(every))  # one row
         flat = F.sum(F.when(F.col("weight") > 0, -F.col("weight") * F.log("weight")).otherwise(0.0)).over(W.partitionBy())
         # An exponent below 1 is the largest allowed only if some source is drawn to its limit.
-        fullest = F.max(F.coalesce("t", F.lit(0)) / F.greatest(F.col("max_repeats") * F.col("n_tokens"), F.lit(1))).over(W.partitionBy())
+        limit = F.col("max_repeats") * F.col("n_tokens")
+        full = F.max((F.coalesce("t", F.lit(0)) >= 0.98 * limit - F.col("longest")) & (limit > 0)).over(W.partitionBy())
         checks = rows.select(
             F.lit(name).alias("mixture"),
             "source",
             (F.coalesce("t", F.lit(0)) <= F.col("max_repeats") * F.col("n_tokens")).alias("within_limit"),
             (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("copies_within_limit"),
             (F.coalesce("once", F.lit(1)) == 1).alias("once_a_copy"),
-            (F.abs(F.coalesce("t", F.lit(0)) / F.col("every") - F.col("weight")) < 0.01).alias("meets_weight"),
-            {"targets": F.abs(F.col("weight") - F.col("target_share")) < 0.03, "budget": F.col("exponent").between(0, 1) & ((F.col("exponent") == 1) | (fullest > 0.98)), "entropy": F.abs(flat - ENTROPY) < 1e-6}[name].alias("meets_aim"),
+            (F.abs(F.coalesce("t", F.lit(0)) - F.col("weight") * F.col("every")) < 0.01 * F.col("every") + 2 * F.col("longest")).alias("meets_weight"),
+            {"targets": F.abs(F.col("weight") - F.col("target_share")) < 0.03, "budget": F.col("exponent").between(0, 1) & ((F.col("exponent") == 1) | full), "entropy": F.abs(flat - ENTROPY) < 1e-6}[name].alias("meets_aim"),
         )
         out = checks if out is None else out.unionByName(checks)
     return out
