@@ -96,3 +96,80 @@ def status_of(n: Column, size: Column, cap: int) -> Column:
 def pending(wanted: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
     """What is still to be fetched: an anti-join, so a run that ended early resumes where it was."""
     return wanted.select(*keys).distinct().join(covered.select(*keys), keys, "left_anti")
+
+
+def batches(items: list, size: int) -> list[list]:
+    """A list in pieces of at most `size`, in order."""
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
+def cached_answers(names: DataFrame, cache: DataFrame | None, ask: Callable[[list[str]], dict[str, str]], size: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(answers, cache): what a service says of each distinct `name`, asked once ever.
+
+    Names in the cache (name, answer) are not asked again; the others are asked in batches of `size`, one batch after the
+    other as a service's limits want it, and added (also those without an answer: null). Null names are not asked."""
+    wanted = names.select("name").where(F.col("name").isNotNull()).distinct()
+    spark = names.sparkSession
+    known = cache if cache is not None else spark.createDataFrame([], "name string, answer string")
+    new = []
+    part: list[str] = []
+
+    def flush() -> None:
+        got = ask(part)
+        new.extend((n, got.get(n)) for n in part)
+        part.clear()
+
+    for r in wanted.join(known.select("name"), "name", "left_anti").orderBy("name").toLocalIterator():
+        part.append(r["name"])
+        if len(part) == size:
+            flush()
+    if part:
+        flush()
+    full = known.unionByName(spark.createDataFrame(new, "name string, answer string"))
+    return wanted.join(full, "name", "left"), full
+
+
+def download(fetch: Callable[[], Iterator[bytes]], path: str) -> tuple[int, str]:
+    """(bytes, sha256) of a file fetched in pieces to `path`.part and renamed when it is whole; an existing file is kept."""
+    import hashlib
+
+    import pyarrow.fs as pafs
+
+    fs, where = pafs.FileSystem.from_uri(path)
+    digest, n = hashlib.sha256(), 0
+    if fs.get_file_info(where).type == pafs.FileType.File:
+        with fs.open_input_stream(where) as f:
+            while piece := f.read(1 << 20):
+                digest.update(piece)
+                n += len(piece)
+        return n, digest.hexdigest()
+    fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(where + ".part") as f:
+        for piece in fetch():
+            f.write(piece)
+            digest.update(piece)
+            n += len(piece)
+    fs.move(where + ".part", where)
+    return n, digest.hexdigest()
+
+
+def run_batch(steps: list[tuple[str, Callable[[], object]]], start_at: str | None = None, stop_on_error: bool = True) -> list[tuple[str, str, str]]:
+    """(step, status, message) of named steps run in order: skipped before `start_at`, ok, failed, or not run after a failure."""
+    names = [n for n, _ in steps]
+    if start_at is not None and start_at not in names:
+        raise ValueError(f"no step {start_at}")
+    out, begun, broken = [], start_at is None, False
+    for name, step in steps:
+        begun = begun or name == start_at
+        if not begun:
+            out.append((name, "skipped", ""))
+        elif broken:
+            out.append((name, "not run", ""))
+        else:
+            try:
+                step()
+                out.append((name, "ok", ""))
+            except Exception as e:  # noqa: BLE001  a step may fail in any way; the status says how
+                out.append((name, "failed", str(e)))
+                broken = stop_on_error
+    return out
