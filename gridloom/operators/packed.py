@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.skew import maybe_broadcast
-from gridloom.storage import checkpointed
+from gridloom.storage import checkpointed, written
 
 #: Stand-ins for the word "and" between blanks, and for a comma inside one name.
 AND, COMMA = "\x01", "\x03"
@@ -118,15 +118,15 @@ def _base_bits(shape: Column, grammar: Grammar) -> Column:
     return 2.0 + 1.5 * F.length(shape) + 6.0 * separators + 20.0 * marks
 
 
-def dialect_model(df: DataFrame, text: str, grammar: Grammar, rounds: int = 2) -> DataFrame:
-    """One row per distinct text shape of `df.text`: shape_id (its digest), n_texts, dialect (its index in the grammar), bits.
+def dialect_model(shapes: DataFrame, grammar: Grammar, rounds: int = 2) -> DataFrame:
+    """One row per distinct text shape: shape_id (its digest), n_texts, dialect (its index in the grammar), bits.
 
-    Starts from a fixed code, then alternates: choose each shape's cheapest parse, count the value shapes of the
-    chosen parses over all texts, code by these counts. Ties take the dialect listed first (fewest separators).
+    `shapes`: shape and shape_id, one row per text. Starts from a fixed code, then alternates: choose each shape's cheapest
+    parse, count the value shapes of the chosen parses over all texts, code by these counts. Ties take the dialect listed
+    first (fewest separators).
     """
-    prepared = _prepared(F.col(text), grammar)
     # The shapes, their parses and each round's choice are small tables of their own: the plans stay short.
-    shapes = checkpointed(df.where(F.col(text).isNotNull()).groupBy(_shape(prepared).alias("shape")).agg(F.count(F.lit(1)).alias("n_texts")).withColumn("shape_id", F.md5("shape")))
+    shapes = checkpointed(shapes.groupBy("shape_id").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("n_texts")))
     tries = F.array(*[F.struct(F.lit(i).alias("dialect"), _shape_values(F.col("shape"), d).alias("parsed")) for i, d in enumerate(grammar.dialects)])
     parses = shapes.select("shape_id", "n_texts", F.inline(tries))  # the digest, not the shape: a long one is not repeated per value
     values = parses.select("shape_id", "n_texts", "dialect", F.greatest(F.size("parsed") - 1, F.lit(0)).alias("n_separators"), F.explode_outer("parsed").alias("value_shape"))
@@ -164,16 +164,24 @@ def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Grammar], at_
     length; there is no limit on texts, values or dialect shapes (a large shape table is joined by shuffle).
     """
     ks = [f"_k{i}" for i in range(len(keys))]
+    names = list(fields)
+    texts = F.array(*[F.struct(F.lit(i).alias("field"), F.col(n).alias("text")) for i, n in enumerate(names)])
+    own = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.inline(texts))
+    by_field = lambda exprs: F.coalesce(*[F.when(F.col("field") == i, e) for i, e in enumerate(exprs)])
+    if at_least > 1:
+        marks = [r"[;|\n/&+,\"'\[\]{}()]" + (r"|(?i:\sand\s)" if g.persons else r"|\S[^\S\n]\S") for g in fields.values()]
+        own = own.where(by_field([F.col("text").rlike(m) for m in marks]))
+    else:
+        own = own.where(F.regexp_replace("text", r"\s", "") != "")
+    # One scan and one shuffle for all fields: repeated rows out, texts prepared and their shapes taken once, then written.
+    prepared = own.dropDuplicates().withColumn("prepared", by_field([_prepared(F.col("text"), g) for g in fields.values()]))
+    shaped, _ = written(prepared.select(*ks, "field", "prepared", _shape(F.col("prepared")).alias("shape")).withColumn("shape_id", F.md5("shape")), "shapes")
     parts = []
-    for name, grammar in fields.items():
-        own = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.lit(name).alias("field_name"), F.col(name).alias("text"))
-        marks = r"[;|\n/&+,\"'\[\]{}()]" + (r"|(?i:\sand\s)" if grammar.persons else r"|\S[^\S\n]\S")
-        has_value = F.regexp_replace("text", r"\s", "") != ""
-        own = own.where(F.col("text").isNotNull() & (F.col("text").rlike(marks) if at_least > 1 else has_value))
-        model = dialect_model(own, "text", grammar)
-        prepared = own.dropDuplicates().withColumn("prepared", _prepared(F.col("text"), grammar)).withColumn("shape_id", F.md5(_shape(F.col("prepared"))))
-        joined = prepared.join(maybe_broadcast(model.select("shape_id", "dialect")), "shape_id")
-        values = F.coalesce(*[F.when(F.col("dialect") == i, _values(F.col("prepared"), d)) for i, d in enumerate(grammar.dialects)])
+    for i, (name, grammar) in enumerate(fields.items()):
+        mine = shaped.where(F.col("field") == i)
+        model = dialect_model(mine.select("shape_id", "shape"), grammar)
+        joined = mine.select(*ks, F.lit(name).alias("field_name"), "prepared", "shape_id").join(maybe_broadcast(model.select("shape_id", "dialect")), "shape_id")
+        values = F.coalesce(*[F.when(F.col("dialect") == k, _values(F.col("prepared"), d)) for k, d in enumerate(grammar.dialects)])
         parts.append(joined.select(*ks, "field_name", values.alias("all_values")).where(F.size("all_values") >= at_least))
     rows = reduce(DataFrame.unionByName, parts).select(*ks, "field_name", F.posexplode("all_values").alias("pos0", "value"))
     return rows.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], "field_name", (F.col("pos0") + 1).cast("int").alias("pos"), "value")
