@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if it has at most so many rows (checked by a count that stops there).
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only if it has at most so many rows and bytes (checked by a count that stops there).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if `df` has at most `max_rows` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if `df` has at most `max_rows` rows, and `max_bytes` bytes written out as text; reads no further than the rows."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    size = F.octet_length(F.to_json(F.struct(*plain.columns)))
+    one = plain.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    return one["n"] <= max_rows and (one["bytes"] or 0) <= max_bytes
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint where its row count is proven small, else one for a merge join.
+    """`df` with a broadcast hint where its rows and bytes are proven few, else one for a merge join.
 
     Without the latter the planner could still broadcast it on an estimate, which Python stages and exploded rows fool."""
     return F.broadcast(df) if small(df, max_rows) else df.hint("merge")

@@ -2,6 +2,7 @@ import math
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import nearby, orphans, skew, tree
@@ -98,3 +99,14 @@ def test_salted_join_equals_plain_join(spark):
         assert sorted(map(str, x.select(*y.columns).collect())) == sorted(map(str, y.collect()))
     assert skew.hot_keys(a.limit(0), ["k"]).count() == 0
     assert skew.small(a, 300) and not skew.small(a, 299)
+    assert not skew.small(a, 300, 100) and skew.small(a.limit(0), 1, 1)
+
+
+def test_written_tables_are_cleared(spark):
+    from gridloom import storage
+
+    storage.clear_written(spark)
+    df, path = storage.written(spark.range(3), "cleared")
+    assert df.count() == 3 and storage.clear_written(spark) == 1 and storage.clear_written(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
