@@ -14,6 +14,8 @@ documents, stand in texts that begin with evidence and hold little else.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +30,31 @@ COMPANION_SHARE, COMPANION_LEAST = 0.9, 3
 #: may stand between two filler phrases. A word has at most SPELLINGS forms (case, signs around it).
 PHRASE_WORDS, PHRASE_TIMES, BETWEEN, SPELLINGS = 8, 3, 3, 8
 
+#: Words of failure that stand alone, and those that end others ("keyerror", "serverfehler"); requests to
+#: log in; words that say of a text that it is filler, and how the usual filler begins. Lower case, without accents.
+FAILURE = r"(?:fatal|erreurs?|erros?|excepcion|excecao|ausnahme|failures?|traceback|oops|ups|hoppla|went wrong|salio mal|deu errado|schief ?gegangen|mal passee?)\b"
+FAILURE_ENDS = ("error", "fehler", "exception", "timeout")
+ENTERING = r"(?:(?:sign|log) ?in (?:to|again|before)|inicie sesion|identifiez|connectez|melden sie|faca login|entre com)\b"
+FILLER_WORDS = r"(?:filler|dummy|placeholder|sample|example) (?:words?|text|paragraphs?|description|content)\b|text goes here\b|texto de (?:ejemplo|relleno|exemplo|preenchimento)\b|texte (?:de remplissage|d.exemple)\b|(?:blind|beispiel|platzhalter|full)text\b|blah?\b|x{3,}\b|(?:asdf|qwer)\w*"
+FILLER_BEGINS = r"lorem ipsum|dolor sit amet|consectetur adipiscing|eiusmod tempor"
+#: A word of any of these, at its first letters.
+ANY_WORD = rf"\b(?=[abcdefhilmopqstuwx])(?:{FILLER_BEGINS}|{FILLER_WORDS}|{FAILURE}|{ENTERING})"
+FILLER = rf"(?:{FILLER_BEGINS})[^.!?\n]*|\b(?=[abdefpstqx])(?:{FILLER_WORDS})"
+
 #: Words of failure, of denial, of what a site offers, of what a browser has and of asking for it, in
 #: English, Spanish, French, Portuguese and German, lower case and without accents.
 WORDS = {
-    "failure": r"(?:error(?:e?s)?|fehler|exceptions?|timeouts?)\b|\b(?=[abdefhmostuw])(?:fatal|erreurs?|erros?|excepcion|excecao|ausnahme|failures?|traceback|oops|ups|hoppla|went wrong|salio mal|deu errado|schief ?gegangen|mal passee?)\b",
+    "failure": rf"(?:errors?|errores|fehler|exceptions?|timeouts?)\b|\b{FAILURE}",
     "denial": r"\b(?=[abcdefgiklmnoprstuvw])(?:not (?:be )?found|(?:could|can|did|does|do|is|are|was) ?(?:not|n.t)|can.?t|unable|failed|unavailable|denied|forbidden|expired|timed out|disabled|blocks?|blocked|closed|offline|down|too many|moved|deleted|removed|no longer|bad|no (?:se )?(?:pudo|puede|existe|esta)|no (?:fue )?encontrad[oa]|nao (?:foi )?(?:encontrad[oa]|existe|esta|pode)|deneg\w+|negad[oa]|(?:non|pas) (?:ete )?(?:trouvee?s?|disponible)|introuvable|(?:in|no )disponible|indisponivel|n.existe|n.est|refusee?|interdit|nicht|kein|keine|verweigert|gesperrt|abgelaufen|verschoben|geloscht|eliminad[oa]|removid[oa]|movid[oa]|supprimee?|deplacee?)\b",
     "thing": r"\b(?:pages?|site|website|server|service|system|records?|files?|document|sheet|request(?:s|ed)?|session|portal|gateway|access|permission|application|database|store|catalogue|connection|tile|map|viewer|url|content|resource|pagina|sitio|servidor|servicio|servico|registro|ficha|solicitud|sesion|sessao|acceso|acesso|serveur|fiche|demande|acces|seite|dienst|beleg|zugriff|datensatz|anfrage|sitzung|karte|maintenance|mantenimiento|manutencao|wartung)\b",
     "browser": r"\b(?=[abcjnrs])(?:java ?scripts?|scripts?|scripting|cookies?|browser|navegador|navigateur|noscript|robot|captcha|ad ?blocker)\b",
     "asking": r"\b(?:please|enable|activate|allow|accept|turn(?:ed)?|switch(?:ed)?|require[ds]?|needs?|needed|must|disabled|blocks?|blocked|not|depends|verify|confirm|prove|checking|upgrade|update|por favor|activar|active[rz]?|habilit\w+|ativ\w+|aktivieren|permit\w+|acept\w+|accepte[rz]?|bitte|veuillez|requier\w+|necesita\w*|precisa\w*|necessite|benotigt|erforderlich)\b",
-    "entering": r"(?<![a-z] )\b(?=[cefilmps])(?:please )?(?:(?:sign|log) ?in (?:to|again|before)|inicie sesion|identifiez|connectez|melden sie|faca login|entre com)\b",
+    "entering": rf"(?<![a-z] )\b(?:please )?{ENTERING}",
     "code": r"^(?:(?:http|status|error|code|http status)\W*)*[45]\d\d\b(?:\W+\w+){0,3}\W*$|^\s*(?:file|at) \W?[\w.$/<>]+\W.*\bline \d+|^\s*at [\w.$]+\([\w.$]+:\d+\)",
     "going with it": r"^(?:please|try again|retry|reload|refresh|return to|(?:go|come) back|contact|wait|slow down|thank you|loading|reference|code|codigo|fehlercode|this (?:may|can|might) take|if nothing appears|veuillez|bitte|vuelva|intente|reintente|tente|volte|merci|gracias|obrigad[oa]|danke)\b",
 }
 #: How a sentence tells of something that happened, to somebody or at a time.
 TELLING = r"[,;] (?:so|because|until|but|apart|after|donc|weil|pero|mas|which \w+ed)\b|\b(?:she|he|they)\b|\bin (?:1[89]|20)\d\d\b|\b(?:met|stopped|kept|delayed|stayed|queued|counted|wrote|said)\b"
-#: Words that say of a text that it is filler.
-FILLER = r"(?:lorem ipsum|dolor sit amet|consectetur adipiscing|eiusmod tempor)[^.!?\n]*|\b(?=[abdefpstqx])(?:(?:filler|dummy|placeholder|sample|example) (?:words?|text|paragraphs?|description|content)\b|text goes here\b|texto de (?:ejemplo|relleno|exemplo|preenchimento)\b|texte (?:de remplissage|d.exemple)\b|(?:blind|beispiel|platzhalter|full)text\b|blah?\b|x{3,}\b|(?:asdf|qwer)\w*)"
 #: Letters with accents and the plain ones.
 ACCENTED, PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
 
@@ -63,8 +74,9 @@ PRINTED_PARTS = ("undefined", "null", "NaN", "nil", "None", "[object Object]", "
 
 def _lines(text: Column) -> Column:
     """The text's lines without markup, trimmed; empty ones left out."""
-    plain = F.regexp_replace(text, r"(?i)</?(?:html|head|body|p|br|div|span|h\d|li|ul|table|tr|td|b|i)\b[^<>]*>", "\n")
-    plain = F.regexp_replace(F.regexp_replace(plain, "&amp;", "&"), r"&nbsp;", " ")
+    bare = F.regexp_replace(text, r"(?i)</?(?:html|head|body|p|br|div|span|h\d|li|ul|table|tr|td|b|i)\b[^<>]*>", "\n")
+    bare = F.when(text.contains("<"), bare).otherwise(text)
+    plain = F.when(text.contains("&"), F.regexp_replace(F.regexp_replace(bare, "&amp;", "&"), r"&nbsp;", " ")).otherwise(bare)
     return F.filter(F.transform(F.split(plain, r"\n+"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " "))), lambda x: x != "")
 
 
@@ -119,9 +131,9 @@ def is_evidence(sentence: Column) -> Column:
 def may_be_message(text: Column) -> Column:
     """Some sentence of the text could be evidence, or says that it is filler."""
     together = lambda p, one, other: p.rlike(WORDS[one]) & F.exists(F.split(p, r"[.!?\n]"), lambda s: s.rlike(WORDS[one]) & s.rlike(WORDS[other]))
-    alone = f"{FILLER}|{WORDS['failure']}|{WORDS['entering']}|(?m)^\\W*(?:\\w+\\W+){{0,2}}[45]\\d\\d\\b|^\\s*(?:file|at) .*\\d"
+    code = r"(?m)^\W*(?:\w+\W+){0,2}[45]\d\d\b|^\s*(?:file|at) .*\d"
     # Bound by the lambda, the plain text is made once.
-    return F.exists(F.array(_plain(text)), lambda p: p.rlike(alone) | together(p, "browser", "asking") | together(p, "denial", "thing"))
+    return F.exists(F.array(_plain(text)), lambda p: p.rlike(ANY_WORD) | reduce(lambda x, y: x | y, [p.contains(w) for w in FAILURE_ENDS]) | p.rlike(code) | together(p, "browser", "asking") | together(p, "denial", "thing"))
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", recurs: float = RECURS) -> DataFrame:
