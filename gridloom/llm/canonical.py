@@ -153,7 +153,9 @@ def _read_block(path: str, block: int):
     return ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["id", "kind", "genus", "epithet", "slots", "weights"], filter=ds.field("block") == block)
 
 
-def _matcher(path: str, blocks: int, idf, threshold: float):
+def _matcher(path: str, blocks: int, idf, threshold: float, margin: float):
+    """Candidates of each value in every block: the best that the check leaves and those within `margin` of it, which are all that can matter."""
+
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[int, GramIndex | None] = (-1, None)
 
@@ -165,11 +167,17 @@ def _matcher(path: str, blocks: int, idf, threshold: float):
                     held = (block, GramIndex(_read_block(path, block)))
                 index = held[1]
                 for r in values.itertuples(index=False):
-                    for n, cosine in zip(*index.near(r.form, r.kind, idf.value, threshold)):
+                    hits, cosines = index.near(r.form, r.kind, idf.value, threshold)
+                    floor = -1.0
+                    for k in np.argsort(-cosines, kind="stable"):
+                        n, cosine = hits[k], cosines[k]
+                        if cosine < floor:
+                            break
                         i, kind, genus, epithet = index.rows[n]
                         d = _meant(r.genus, r.epithet, r.kind, genus, epithet) if kind == r.kind else MOST_EDITS + 1
                         if d <= MOST_EDITS:
                             found.append((r.value, i, float(cosine), d))
+                            floor = max(floor, cosine - margin - 1e-9)
             return pd.DataFrame(found, columns=["value", "id", "cosine", "edits"])
 
         waiting, n = [], 0
@@ -238,7 +246,7 @@ def match_names(values: DataFrame, value: str, entries: DataFrame, entry_id: str
 
     numbered = index.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     _, path = written(numbered.mapInPandas(vectors, f"id {id_type}, kind string, genus string, epithet string, block int, slots array<int>, weights array<double>"), "gram-index")
-    scored = checkpointed(queries.mapInPandas(_matcher(path, blocks, idf, threshold), f"value string, id {id_type}, cosine double, edits int"))
+    scored = checkpointed(queries.mapInPandas(_matcher(path, blocks, idf, threshold, margin), f"value string, id {id_type}, cosine double, edits int"))
     one = scored.groupBy("value", "id").agg(F.max(F.struct("cosine", (-F.col("edits")).alias("minus"))).alias("m")).select("value", "id", F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("edits"))
     # Each value's best two, combined before they are sent: the best, and the next for the margin.
     best = one.groupBy("value").agg(F.max(F.struct("cosine", (-F.col("edits")).alias("minus"), "id")).alias("m"))
