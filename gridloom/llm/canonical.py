@@ -104,9 +104,13 @@ def _meant(genus: str, epithet: str, kind: str, entry_genus: str, entry_epithet:
         d = edits(epithet, entry_epithet, 1) if abbreviated else MOST_EDITS + 1
         return d if d <= 1 else MOST_EDITS + 1
     if not genus:
-        return min(edits(epithet, entry_genus + entry_epithet, 2), MOST_EDITS + 1) if edits(epithet, entry_genus + entry_epithet, 2) <= 2 else MOST_EDITS + 1
-    a, b = edits(genus, entry_genus, 2), edits(epithet, entry_epithet, 2)
-    return a + b if a <= 2 and b <= 2 and a + b <= MOST_EDITS else MOST_EDITS + 1
+        d = edits(epithet, entry_genus + entry_epithet, 2)
+        return d if d <= 2 else MOST_EDITS + 1
+    a = edits(genus, entry_genus, 2)
+    if a > 2:
+        return MOST_EDITS + 1
+    b = edits(epithet, entry_epithet, 2)
+    return a + b if b <= 2 and a + b <= MOST_EDITS else MOST_EDITS + 1
 
 
 class GramIndex:
