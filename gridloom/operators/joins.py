@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators.skew import maybe_broadcast, salted_join
-from gridloom.storage import checkpointed
+from gridloom.storage import checkpointed, written
 
 
 class NotUniqueError(ValueError):
@@ -79,6 +79,32 @@ def cohort_windows(cohorts: DataFrame, events: DataFrame, keys: list[str], start
     return pairs.withColumn("window", F.explode(wide))
 
 
+def cohort_counts(cohorts: DataFrame, events: DataFrame, key: str, start: str, at: str, windows: list[int], by: list[str], member: str) -> DataFrame:
+    """(by..., start, window, n): distinct members of the events that `by` meets through any of its keys, with 0 <= at - start <= window.
+
+    As a distinct count over cohort_windows (0 where only events without a member are met), but without its pairs, which grow as
+    cohorts times events. Members of the same keys and times are one class with a weight. Classes of one key are disjoint over keys,
+    so their weights are summed by (key, start) before any cohort is met; only classes of several keys go to the cohorts by themselves."""
+    times = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(member, key).agg(F.sort_array(F.collect_set(at)).alias("_at"))
+    # Events without a member are no member that joins keys: a class for each key.
+    owners = times.groupBy(member, F.when(F.col(member).isNull(), F.col(key)).alias("_own")).agg(F.sort_array(F.collect_list(F.struct(key, "_at"))).alias("_links"))
+    classes = owners.groupBy("_links").agg(F.count(member).alias("_n"), F.min(member).alias("_first"))
+    links = classes.select("_n", F.when(F.size("_links") > 1, F.col("_first")).alias("_class"), F.inline("_links"))
+
+    cohorts, _ = written(cohorts.select(key, *by, start).dropna(subset=[key, start]).distinct(), "cohorts")  # read for times, hot keys and the join
+    met = links.join(cohorts.select(key, start).distinct().hint("merge"), key)
+    lag = F.array_min(F.filter("_at", lambda t: t >= F.col(start))) - F.col(start)
+    met = met.withColumn("_lag", lag).where(F.col("_lag") <= max(windows))
+    names = {w: f"_n{w}" for w in sorted(windows)}
+    counts = met.groupBy(key, start, "_class").agg(*[F.sum(F.when(F.col("_lag") <= w, F.col("_n"))).alias(n) for w, n in names.items()])
+
+    # A class of several keys counts once for a cohort, however many of them it meets; what is summed already adds up.
+    once = [F.when(F.col("_class").isNull(), F.sum(n)).otherwise(F.max(n)).alias(n) for n in names.values()]
+    total = salted_join(cohorts, counts, [key, start]).groupBy(*by, start, "_class").agg(*once).groupBy(*by, start).agg(*[F.sum(n).alias(n) for n in names.values()])
+    rows = F.inline(F.array(*[F.struct(F.lit(w).alias("window"), F.col(n).alias("n")) for w, n in names.items()]))
+    return total.select(*by, start, rows).where("n is not null")
+
+
 def resolve_pointers(df: DataFrame, node: str, parent: str, max_hops: int = 10) -> DataFrame:
     """(node, root, hops): follows parent pointers to a node without one; root is null for a cycle, a missing parent or a longer chain.
 

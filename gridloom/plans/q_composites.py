@@ -105,12 +105,11 @@ def c_20(spark, sf):
     from gridloom.functions import nested
     from gridloom.operators import joins
 
-    d = T(spark, sf, "gbif_dataset_cells").select(dataset_key(F.col("dataset_key")).alias("key"), "cell_id", F.year("first_seen_at").alias("year")).dropna(subset=["key"]).distinct()
+    d = T(spark, sf, "gbif_dataset_cells").select(dataset_key(F.col("dataset_key")).alias("key"), "cell_id", F.year("first_seen_at").alias("year")).dropna(subset=["key"])
     p = nested.json_rows(T(spark, sf, "dataset_literature_cache"), "pages_json", "id string, year int", ["dataset_key"])
-    p = p.select(dataset_key(F.col("dataset_key")).alias("key"), F.col("id").alias("pub_id"), F.col("year").alias("pub_year")).dropna().distinct()
-    # A dataset of many cells meets only its publications; the pairs are reduced to (cell, year, window, publication) at once.
-    pairs = joins.cohort_windows(d, p, ["key"], "year", "pub_year", [3, 5, 10])
-    return pairs.select("cell_id", "year", "window", "pub_id").distinct().groupBy("cell_id", "year", "window").agg(F.count(F.lit(1)).alias("n_publications"))
+    p = p.select(dataset_key(F.col("dataset_key")).alias("key"), F.col("id").alias("pub_id"), F.col("year").alias("pub_year"))
+    # Cells and publications of a dataset are not paired: both grow with the input, their product as its square.
+    return joins.cohort_counts(d, p, "key", "year", "pub_year", [3, 5, 10], ["cell_id"], "pub_id").withColumnRenamed("n", "n_publications")
 
 
 _POS = "select *, (l_partkey * 7919 % 36000) / 100.0 - 180 + 0.003 as lon, (l_suppkey * 104729 % 17000) / 100.0 - 85 + 0.003 as lat, year(l_shipdate) as year from lineitem"
